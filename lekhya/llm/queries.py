@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import leak, near_dup, residue
+from lekhya.llm import leak, mix, near_dup, residue, split
 from lekhya.session import table
 
 
@@ -17,6 +17,22 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(table(spark, d, "documents"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.found(table(spark, d, "ocr_documents"), table(spark, d, "cleaned_texts"))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_items(split.items(table(spark, d, "ocr_documents"), table(spark, d, "cleaned_texts")))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -35,6 +51,13 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_alignments": p8_alignments,
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_evidence": p10_evidence,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p6_found": """
+        SELECT doc_id, CAST(i - 1 AS INTEGER) AS para_no
+        FROM (SELECT doc_id, unnest(range(1, len(paragraphs) + 1)) AS i, paragraphs FROM cleaned_texts)
+        WHERE length(paragraphs[i]) > 512
+        UNION ALL SELECT doc_id, CAST(-1 AS INTEGER) FROM ocr_documents WHERE length(full_text) > 512""",
+}
