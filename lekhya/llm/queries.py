@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import leak, mix, near_dup, residue, split
+from lekhya.llm import leak, mix, near_dup, residue, similar_vectors, split
 from lekhya.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_vectors.found(table(spark, d, "vectors"))
+
+
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    return similar_vectors.recall(table(spark, d, "vectors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.found(table(spark, d, "documents"))
 
@@ -50,6 +58,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_recall": p1_recall,
     "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_alignments": p8_alignments,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_evidence": p10_evidence,
