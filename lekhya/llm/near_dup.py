@@ -44,52 +44,62 @@ def _sets(texts: list[str], n: int, min_words: int) -> Iterator[tuple[int, np.nd
 def signatures(documents: DataFrame, n: int = 3, min_words: int = 50, sides: int = 14) -> DataFrame:
     """(id, size, fp, u array<long>, v binary): the U keys whole, the V minhashes as 2*sides 16-bit words."""
     rng = np.random.Generator(np.random.PCG64(20_240_601))
-    seeds = rng.integers(0, 2**64, size=4 * sides, dtype=np.uint64)
-    odd = rng.integers(0, 2**63, size=4 * sides, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seeds = rng.integers(0, 2**32, size=(4 * sides, 1), dtype=np.uint32)
+    odd = rng.integers(0, 2**31, size=(4 * sides, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, sizes, fps, us, vs = [], [], [], [], []
             doc_ids = b["doc_id"].to_numpy()
             for row, s in _sets(b["text"].tolist(), n, min_words):
-                x = (s ^ (s >> np.uint64(31)))[None, :] ^ seeds[:, None]
-                x *= odd[:, None]
-                x ^= x >> np.uint64(29)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                m = x.min(axis=1)
-                u = (m[0 : 2 * sides : 2] * np.uint64(0x9E3779B97F4A7C15)) ^ m[1 : 2 * sides : 2]
+                x = (s >> np.uint64(32)).astype(np.uint32)[None, :] ^ seeds
+                x *= odd
+                x ^= x >> np.uint32(15)
+                x *= np.uint32(0x846CA68B)
+                x ^= x >> np.uint32(16)
+                m = x.min(axis=1).astype(np.uint64)
+                u = m[0 : 2 * sides : 2] << np.uint64(32) | m[1 : 2 * sides : 2]
                 ids.append(doc_ids[row])
                 sizes.append(len(s))
                 fps.append(int(np.add.reduce(s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(32)))) & (2**63 - 1))
                 us.append(u.view(np.int64))
                 m2 = m[2 * sides :]
-                vs.append(((m2 >> np.uint64(24)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                vs.append((m2 & np.uint64(0xFFFF)).astype("<u2").tobytes())
             yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "size": np.array(sizes, dtype=np.int32), "fp": np.array(fps, dtype=np.int64), "u": us, "v": vs})
 
     return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "id long, size int, fp long, u array<long>, v binary")
 
 
-def _bucket_pairs(ids: np.ndarray, v: np.ndarray, sides: list[int], bucket: int, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Candidate pairs within one U group: texts that share a V key and at least `least` V minhashes; and the ids of oversized buckets."""
+def _bucket_pairs(group: np.ndarray, ids: np.ndarray, v: np.ndarray, sides: list[int], bucket: int, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Candidate pairs within U groups: texts that share a V key and at least `least` V minhashes; and the ids of oversized buckets.
+
+    group numbers the U group of each row. All groups are handled at once: rows are sorted by (group, V key), and the
+    pairs of a bucket are the rows d apart with equal keys, for d = 1, 2, ... up to the largest bucket.
+    """
     pairs, over = [], []
+    high = group.astype(np.uint64) << np.uint64(32)
     for j in sides:
-        key = v[:, 2 * j].astype(np.uint32) << np.uint32(16) | v[:, 2 * j + 1]
-        order = np.argsort(key, kind="stable")
+        key = high | v[:, 2 * j].astype(np.uint64) << np.uint64(16) | v[:, 2 * j + 1].astype(np.uint64)
+        order = np.argsort(key)
         k = key[order]
         cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-        for a, e in zip(cuts[:-1], cuts[1:]):
-            if e - a < 2:
-                continue
-            members = order[a:e]
-            if e - a > bucket:
-                over.append(ids[members])
-                continue
-            x, y = np.triu_indices(e - a, 1)
-            x, y = members[x], members[y]
+        size = np.diff(cuts)
+        if size.max(initial=1) < 2:
+            continue
+        if size.max() > bucket:
+            big = np.repeat(size > bucket, size)
+            over.append(ids[order[big]])
+            order, k = order[~big], k[~big]
+        d = 1
+        at = np.flatnonzero(k[1:] == k[:-1])
+        while len(at):
+            x, y = order[at], order[at + d]
             ok = (v[x] == v[y]).sum(axis=1) >= least
-            if ok.any():
-                p, q = ids[x[ok]], ids[y[ok]]
-                pairs.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+            p, q = ids[x[ok]], ids[y[ok]]
+            pairs.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+            d += 1
+            at = at[at + d < len(k)]
+            at = at[k[at] == k[at + d]]
     return pairs, over
 
 
@@ -110,13 +120,14 @@ def candidates(reps: DataFrame, sides: int, threshold: float, bucket: int = 256,
 
         def flush(parts: list[tuple]) -> pd.DataFrame:
             g, j, ids, v = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+            group = np.cumsum(np.concatenate(([0], g[1:] != g[:-1])))
+            keep = np.bincount(group)[group] > 1
             pairs, over = [], []
-            for a, e in zip(cuts[:-1], cuts[1:]):
-                if e - a > 1:
-                    p, o = _bucket_pairs(ids[a:e], v[a:e], range(sides) if j[a] < 0 else [int(j[a])], bucket, least)
-                    pairs += p
-                    over += o
+            for side in np.unique(j[keep]):
+                rows = keep & (j == side)
+                p, o = _bucket_pairs(group[rows], ids[rows], v[rows], list(range(sides)) if side < 0 else [int(side)], bucket, least)
+                pairs += p
+                over += o
             xy = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), dtype=np.int64)
             o = np.unique(np.concatenate(over)) if over else np.empty(0, dtype=np.int64)
             return pd.DataFrame({"a": np.concatenate([xy[:, 0], o]), "b": pd.array([*xy[:, 1].tolist(), *[None] * len(o)], dtype="Int64")})
