@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import leak, mix, near_dup, residue, similar_vectors, split
+from lekhya.llm import addresses, leak, mix, near_dup, residue, similar_vectors, split
 from lekhya.session import table
 
 
@@ -25,6 +25,14 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(table(spark, d, "documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.found(table(spark, d, "entities"), table(spark, d, "resolved_entities"))
+
+
+def p4_places(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.places(table(spark, d, "entities"), table(spark, d, "resolved_entities"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split.found(table(spark, d, "ocr_documents"), table(spark, d, "cleaned_texts"))
 
@@ -60,6 +68,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_recall": p1_recall,
     "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_alignments": p8_alignments,
+    "p4_found": p4_found, "p4_places": p4_places,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_evidence": p10_evidence,
 }
