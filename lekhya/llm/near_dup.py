@@ -31,6 +31,10 @@ from lekhya.llm.hashing import flat_hashes, gram_hashes
 from lekhya.session import materialise
 
 
+#: Up to so many ids (8 bytes each) are broadcast to filter the documents; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
+
+
 def _sets(texts: list[str], n: int, min_words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct n-gram hashes) of the texts with at least min_words words."""
     words = [t.lower().split() if t else [] for t in texts]
@@ -108,8 +112,10 @@ def candidates(reps: DataFrame, sides: int, threshold: float, bucket: int = 256,
     # a pair at the threshold matches Binomial(2*sides, threshold) V minhashes; three deviations below are still kept
     least = max(2, math.floor(2 * sides * threshold - 3 * math.sqrt(2 * sides * threshold * (1 - threshold))))
     rows = reps.select("id", F.posexplode("u").alias("i", "u"), "v").withColumn("g", F.xxhash64("i", "u"))
-    counts = rows.groupBy("g").count().filter(F.col("count") > hot).select("g", F.lit(True).alias("hot"))
-    rows = rows.select("g", "id", "v").join(counts, "g", "left")
+    # hot keys hold over 1/10,000 of all rows, so there are under 10,000 of them and they can be broadcast whatever the data
+    total = reps.count() * sides
+    counts = rows.groupBy("g").count().filter(F.col("count") > max(hot, total // 10_000)).select("g", F.lit(True).alias("hot"))
+    rows = rows.select("g", "id", "v").join(F.broadcast(counts), "g", "left")
     split = F.expr(f"CASE WHEN hot THEN sequence(0, {sides - 1}) ELSE array(-1) END")
     rows = rows.select("id", "v", "g", F.explode(split).alias("j"))
     part = F.expr("CASE WHEN j < 0 THEN g ELSE xxhash64(g, j, substring(v, 4 * j + 1, 4)) END")
@@ -161,7 +167,10 @@ def _ngram_sets(documents: DataFrame, wanted: DataFrame, n: int, min_words: int)
                 sets.append(np.unique((s >> np.uint64(32)).astype("<u4")).tobytes())
             yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "s": sets})
 
-    texts = documents.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    ids = wanted.select(F.col("id").alias("doc_id"))
+    if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:  # else the texts are shuffled to the ids
+        ids = F.broadcast(ids)
+    texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return texts.mapInPandas(run, "id long, s binary").dropDuplicates(["id"])
 
 
@@ -191,7 +200,7 @@ def similar_pairs(documents: DataFrame, n: int = 3, threshold: float = 0.6, min_
     cand = materialise(candidates(reps, sides, threshold, bucket), "candidates")
     over = cand.filter("b IS NULL").select(F.col("a").alias("id")).distinct()
     pairs = cand.filter("b IS NOT NULL").select("a", "b")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(over).distinct()
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(over).distinct(), "wanted")
     sets = materialise(_ngram_sets(documents, wanted, n, min_words), "sets")
     if over.limit(1).count():
         pairs = pairs.union(_prefix_join(sets.join(over, "id", "left_semi"), threshold)).distinct()
