@@ -154,7 +154,7 @@ def _group_search(quantiser: Quantiser, q_ids, q, b_ids, b, codes, norms, k: int
 
 def neighbours(
     vectors: DataFrame, k: int = 5, dim: int = 384, id_col: str = "internal_id", max_sample: int = 40_000, shortlist: int = 32,
-    cell_rows: int = 2048, most_cells: int = 3, margin: float = 0.02,
+    cell_rows: int = 2048, most_cells: int = 3, margin: float = 0.005,
 ) -> DataFrame:
     """(q, n, cos): the k most similar others of every valid vector; ties by the smaller id."""
     spark = vectors.sparkSession
@@ -225,7 +225,7 @@ def neighbours(
 
     rows = singles.mapInPandas(spread, "cell int, qc int, bb int, role int, id long, v binary, c binary, norm float")
     near = rows.groupBy("cell", "qc", "bb").applyInPandas(search, "q long, n long, cos double")
-    merged = _merge(near, k)
+    merged = materialise(_merge(near, k), "neighbours")
     return _expand(merged, copies, k)
 
 
