@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhya.session import materialise
+
 # Words of the customary filler text.
 FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud "
@@ -132,7 +134,8 @@ def score_documents(documents: DataFrame, low_words: int = 60, min_copies: int =
             yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "kinds": kinds, "form": pd.array(forms, dtype="string")})
 
     hits = documents.filter("doc_id IS NOT NULL").select("doc_id", "doc_name", "text").mapInPandas(run, "doc_id long, kinds array<string>, form string")
-    hits = hits.withColumn("form", F.xxhash64("form") * F.when(F.col("form").isNotNull(), 1)).dropDuplicates(["doc_id"])
+    hits = hits.withColumn("form", F.when(F.col("form").isNotNull(), F.xxhash64("form"))).dropDuplicates(["doc_id"])
+    hits = materialise(hits, "residue")
     copies = hits.filter("form IS NOT NULL").groupBy("form").agg(F.count("*").alias("host_copies"))
     joined = hits.join(copies, "form", "left").withColumn("dup", F.coalesce(F.col("host_copies") >= min_copies, F.lit(False)))
     return joined.select(
