@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import addresses, leak, mix, near_dup, residue, similar_vectors, split
+from lekhya.llm import addresses, leak, mix, near_dup, ocr_repair, residue, similar_vectors, split
 from lekhya.session import table
 
 
@@ -17,6 +17,19 @@ def p1_recall(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.recall(table(spark, d, "vectors"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.found(table(spark, d, "ocr_pages"), table(spark, d, "cleaned_texts"))
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.paragraphs(table(spark, d, "ocr_pages"), table(spark, d, "cleaned_texts"))
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    pages = ocr_repair.pages_of(table(spark, d, "ocr_pages"), table(spark, d, "cleaned_texts"))
+    return ocr_repair.repair_documents(table(spark, d, "ocr_documents"), pages)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.found(table(spark, d, "documents"))
 
@@ -67,6 +80,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_recall": p1_recall,
+    "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p2_documents": p2_documents,
     "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_alignments": p8_alignments,
     "p4_found": p4_found, "p4_places": p4_places,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares,
