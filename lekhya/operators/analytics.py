@@ -6,15 +6,19 @@ count once. MLlib's labels are arbitrary: compare partitions, not numbers.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhya.session import lookup_rows
+
 # The features of a property and their defaults.
 DEFAULTS = {"area": 0.0, "bedrooms": 2, "bathrooms": 1, "year_built": 2020, "location_score": 5.0}
 PRICE_PER_UNIT, DEFAULT_AREA = 10_000.0, 1000.0
@@ -72,12 +76,7 @@ def cluster_info(assigned: DataFrame) -> DataFrame:
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str) -> DataFrame:
     """(id, cluster): the nearest of a few centroids (cluster, centroid), ties by the smaller cluster; the centroids are checked to be few."""
-    from lekhya.session import lookup_rows
-
     rows = sorted((r.cluster, list(r.centroid)) for r in lookup_rows(centroids.select("cluster", "centroid"), 10_000))
-    import numpy as np
-    import pandas as pd
-
     labels, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
 
     @F.pandas_udf("int")
@@ -121,9 +120,6 @@ class ValuePredictor:
         if self.kind != "random_forest":
             return p.select("doc_id", F.col("prediction").alias("predicted_value"), F.lit(0.7).alias("confidence"), (F.col("prediction") * 0.85).alias("low"), (F.col("prediction") * 1.15).alias("high"))
         trees = self.model.stages[-1].trees
-        import numpy as np
-        import pandas as pd
-
         # each tree as arrays of (feature, threshold, left, right, value): evaluated for a whole batch at once
         flat = [_tree_arrays(t) for t in trees]
 
@@ -133,8 +129,6 @@ class ValuePredictor:
             each = np.stack([_tree_predict(t, x) for t in flat])
             return pd.Series(list(np.percentile(each, [10, 90], axis=0).T))
 
-        from pyspark.ml.functions import vector_to_array
-
         q = p.withColumn("band", band(vector_to_array("features"))).withColumn("low", F.col("band")[0]).withColumn("high", F.col("band")[1])
         c = F.when(F.col("prediction") > 0, 1 - (F.col("high") - F.col("low")) / F.col("prediction")).otherwise(0.5)
         return q.select("doc_id", F.col("prediction").alias("predicted_value"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("confidence"), "low", "high")
@@ -168,8 +162,6 @@ def _tree_arrays(tree) -> list[tuple]:
 
 
 def _tree_predict(nodes: list[tuple], x):
-    import numpy as np
-
     f, t, le, ri, v = (np.array(c) for c in zip(*nodes))
     at = np.zeros(len(x), dtype=np.int64)
     while True:

@@ -34,8 +34,7 @@ def norm_name(c: Column, titled: bool = True) -> Column:
 def norm_location(c: Column, titled: bool = True) -> Column:
     c = strip(F.lower(c))
     for short, full in LOCATIONS:
-        hit = (c == short) | c.startswith(short + " ")
-        c = F.when(hit, F.concat(F.lit(full), F.substring(c, len(short) + 1, 1 << 30))).otherwise(c)
+        c = F.regexp_replace(c, rf"^{re.escape(short)}( |\z)", f"{full}$1")
     c = F.regexp_replace(c, rf"{WS}*-{WS}*\p{{Nd}}+", "")
     return title_case(c) if titled else c
 

@@ -137,7 +137,7 @@ REST = "kondivali"
 query(
     "rest_search",
     f"""SELECT doc_id, doc_name AS title, substring(text, 1, 200) AS preview, score, ingest_seq FROM (
-        SELECT d.*, round(least((CASE WHEN contains(coalesce(lower(d.text), ''), '{REST}') THEN 0.5 ELSE 0 END) + (CASE WHEN contains(coalesce(lower(doc_name), ''), '{REST}') THEN 0.3 ELSE 0 END) + 0.2 * coalesce(hits, 0), 1.0), 6) AS score
+        SELECT d.*, round(CAST(least((CASE WHEN contains(coalesce(lower(d.text), ''), '{REST}') THEN 0.5 ELSE 0 END) + (CASE WHEN contains(coalesce(lower(doc_name), ''), '{REST}') THEN 0.3 ELSE 0 END) + 0.2 * coalesce(hits, 0), 1.0) AS DOUBLE), 6) AS score
         FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS hits FROM (SELECT DISTINCT * FROM entities) WHERE contains(lower(text), '{REST}') GROUP BY doc_id) h ON h.doc_id = d.doc_id)
     WHERE score > 0 ORDER BY score DESC, ingest_seq LIMIT 10""",
 )(lambda s, d: search.rest_search(table(s, d, "documents"), table(s, d, "entities"), REST))

@@ -244,9 +244,9 @@ def sql_similarity(a: str, b: str) -> str:
         WHEN len({chars(a)}) + len({chars(b)}) = 0 THEN 0.0 ELSE CAST({both} AS DOUBLE) / (len({chars(a)}) + len({chars(b)}) - {both}) END"""
 
 
-TYPES = ["PERSON", "ORGANIZATION"]
-SQL_MENTIONS = f"""SELECT DISTINCT doc_id, entity_type, text AS mention, CASE entity_type WHEN 'PERSON' THEN {sql_name("text")} ELSE text END AS norm
-    FROM entities WHERE entity_type IN ('PERSON', 'ORGANIZATION') AND text IS NOT NULL AND doc_id IS NOT NULL"""
+TYPES = ["PERSON", "ORGANIZATION", "LOCATION"]
+SQL_MENTIONS = f"""SELECT DISTINCT doc_id, entity_type, text AS mention, CASE entity_type WHEN 'PERSON' THEN {sql_name("text")} WHEN 'LOCATION' THEN {sql_location("text")} ELSE text END AS norm
+    FROM entities WHERE entity_type IN ('PERSON', 'ORGANIZATION', 'LOCATION') AND text IS NOT NULL AND doc_id IS NOT NULL"""
 query("er_norm_name", f"SELECT DISTINCT text AS mention, {sql_title(sql_name('text'))} AS norm FROM entities WHERE entity_type = 'PERSON' AND text IS NOT NULL")(
     lambda s, d: table(s, d, "entities").filter("entity_type = 'PERSON' AND text IS NOT NULL").select(F.col("text").alias("mention")).distinct().select("mention", resolve.norm_name(F.col("mention")).alias("norm"))
 )

@@ -31,8 +31,12 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str, label: str) -> D
 
 
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A folder, or a single file, of parquet as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+    """A folder of parquet files, or a single file, as a stream."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
 
 
 def ingest(pages: DataFrame) -> DataFrame:
