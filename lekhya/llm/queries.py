@@ -86,7 +86,26 @@ QUERIES = {
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_evidence": p10_evidence,
 }
+_SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ORACLES: dict[str, str] = {
+    "p1_found": """
+        WITH v AS MATERIALIZED (SELECT internal_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM vectors WHERE len(embedding) = 384
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.id AS q, b.id AS n, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
+        t AS (SELECT q, n, c FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, n) <= 5)
+        SELECT DISTINCT least(q, n) AS id_a, greatest(q, n) AS id_b FROM t WHERE c >= 0.8""",
+    "p3_found": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^{_SPACE}]+') AS w FROM documents WHERE text IS NOT NULL),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 50)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+        SELECT doc_a, doc_b FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+    "p8_found": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+        eg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
     "p6_found": """
         SELECT doc_id, CAST(i - 1 AS INTEGER) AS para_no
         FROM (SELECT doc_id, unnest(range(1, len(paragraphs) + 1)) AS i, paragraphs FROM cleaned_texts)
