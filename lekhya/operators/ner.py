@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lekhya.session import spread
+
 _N = r"([\d/\-A-Za-z]+)"
 _Q = r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -68,35 +70,57 @@ def java(pattern: str) -> str:
     return "(?iu)" + portable(pattern)
 
 
-def matches(text: Column, pattern: str, entity_type: str, ordinal: int) -> Column:
-    """array<struct<start, end, entity_type, text, normalized, confidence, ord, occ>> of the matches of one pattern."""
+def anchors(pattern: str) -> list[str]:
+    """Literals of which every match of the pattern holds one, in lower case; empty where there is no such set."""
+    m = re.search(r"(Survey|Plot|Khata|Property|PID|Khasra|Khatoni|Document|Sq\\|Acres|Guntas|Cents|Rs|INR|₹|Lakhs|Crores|Rupees|Deed|Attorney|Sell)", pattern)
+    word = m[1] if m else ""
+    return {
+        "": [], "Survey": ["no"], "Sq\\": ["sq"], "Acres": ["acre"], "Guntas": ["gunta"], "Cents": ["cent"], "Lakhs": ["lakh"], "Crores": ["crore"], "Rupees": ["rupee"],
+    }.get("Rupees" if "Rupees" in pattern else word, [word.lower()])
+
+
+def matches(text: Column, pattern: str, entity_type: str, ordinal: int, low: Column | None = None) -> Column:
+    """array<struct<start, end, entity_type, text, normalized, confidence, ord, occ>> of the matches of one pattern.
+
+    One pass of the pattern over the text. The captures are taken from the matches, and each match is where its text
+    first occurs after the match before: an earlier occurrence would have been a match itself, as the patterns look at
+    nothing outside. `low`, the text in lower case, lets texts without the pattern's literal go without a pass.
+    """
     p = F.lit(java(pattern))
-    whole, captured, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(1)), F.split(text, java(pattern), -1)
+    whole = F.regexp_extract_all(text, p, F.lit(0))
+    need = anchors(pattern)
+    if low is not None and need:
+        hit = F.contains(low, F.lit(need[0]))
+        whole = F.when(hit, whole).otherwise(F.array().cast("array<string>"))
     strip = lambda c: F.regexp_replace(c, rf"^[{_SPACE}]+|[{_SPACE}]+\z", "")
-    zipped = F.arrays_zip(whole.alias("w"), captured.alias("c"), F.slice(gaps, 1, F.size(whole)).alias("g"))
-    folded = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + F.length(x["g"]) + F.length(x["w"])).alias("pos"), F.concat(acc["starts"], F.array(acc["pos"] + F.length(x["g"]))).alias("starts")
-        ),
-    )["starts"]
-    built = F.zip_with(
-        zipped,
-        folded,
-        lambda x, s: F.struct(
-            s.alias("start"), (s + F.length(x["w"])).alias("end"), F.lit(entity_type).alias("entity_type"), x["w"].alias("text"),
-            strip(x["c"]).alias("normalized"), F.lit(REGEX_CONFIDENCE).alias("confidence"), F.lit(ordinal).alias("ord"),
-        ),
-    )
-    return F.transform(built, lambda x, i: x.withField("occ", i))
+    empty = F.array().cast("array<struct<start:int,end:int,entity_type:string,text:string,normalized:string,confidence:double,ord:int,occ:int>>")
+
+    def step(acc: Column, w: Column) -> Column:
+        start = F.call_function("locate", w, text, F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + 1) - 1
+        return F.concat(
+            acc,
+            F.array(
+                F.struct(
+                    start.alias("start"), (start + F.length(w)).alias("end"), F.lit(entity_type).alias("entity_type"), w.alias("text"),
+                    strip(F.regexp_extract(w, java(pattern), 1)).alias("normalized"), F.lit(REGEX_CONFIDENCE).alias("confidence"), F.lit(ordinal).alias("ord"), F.size(acc).alias("occ"),
+                )
+            ),
+        )
+
+    return F.aggregate(whole, empty, step)
+
+
+def _prepared(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    df = df.filter(F.col(text).isNotNull()).select(*keep, text)
+    df = df if df.isStreaming else spread(df)
+    return df.withColumn("_low", F.lower(F.upper(text)))  # upper first: it folds the few letters that only case-blind matching equates
 
 
 def raw_matches(df: DataFrame, types: list[str] | None = None, text: str = "text") -> DataFrame:
     """One row per match: the columns of df but the text, and the match's fields. One generate per row, no shuffle."""
     keep = [c for c in df.columns if c != text]
-    arrays = [matches(F.col(text), p, t, k) for k, (t, p) in enumerate(PATTERNS) if not types or t in types]
-    return df.filter(F.col(text).isNotNull()).select(*keep, F.inline(F.concat(*arrays)))
+    arrays = [matches(F.col(text), p, t, k, F.col("_low")) for k, (t, p) in enumerate(PATTERNS) if not types or t in types]
+    return _prepared(df, keep, text).select(*keep, F.inline(F.concat(*arrays)))
 
 
 def _order(a: Column, b: Column) -> Column:
@@ -121,8 +145,8 @@ def drop_overlaps(entities: Column) -> Column:
 def extract(df: DataFrame, text: str = "text", extra: list[Column] | None = None) -> DataFrame:
     """One row per entity after overlap removal; `extra` are candidate arrays of model providers with the same fields."""
     keep = [c for c in df.columns if c != text]
-    arrays = [matches(F.col(text), p, t, k) for k, (t, p) in enumerate(PATTERNS)] + (extra or [])
-    raw = df.filter(F.col(text).isNotNull()).select(*keep, F.concat(*arrays).alias("_raw"))
+    arrays = [matches(F.col(text), p, t, k, F.col("_low")) for k, (t, p) in enumerate(PATTERNS)] + (extra or [])
+    raw = _prepared(df, keep, text).select(*keep, F.concat(*arrays).alias("_raw"))
     return raw.select(*keep, F.inline(drop_overlaps(F.col("_raw")))).drop("ord", "occ")
 
 

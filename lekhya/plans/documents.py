@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lekhya.functions import text as T
 from lekhya.operators import chunk, ner, reports, resolve
 from lekhya.plans.registry import query
-from lekhya.session import table
+from lekhya.session import spread, table
 from lekhya.sources import ocr, store
 
 WS = T.WS
@@ -56,7 +56,7 @@ def sql_map(x: str) -> str:
 
 
 def per_document(expr) -> object:
-    return lambda s, d: table(s, d, "documents").select("doc_id", expr(F.col("text")).alias("cleaned"))
+    return lambda s, d: spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", expr(F.col("text")).alias("cleaned"))
 
 
 def sql_per_document(expr: str) -> str:

@@ -60,3 +60,9 @@ def lookup_rows(df: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> list:
     if len(rows) > limit:
         raise ValueError(f"lookup table has more than {limit} rows")
     return rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is heavy per row; scans that are wide enough stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
