@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,25 +134,22 @@ def parsed(kind: str, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.dropDuplicates(["id"]).withColumn("record_kind", F.lit(kind))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _deletions(names: pd.Series) -> pd.Series:
-    """The name with up to two letters left out (one for names under six letters): names at that edit distance share one."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _deletions(names: pd.Series, places: pd.Series) -> pd.Series:
+    """Hashes of (place, name with at most one letter left out): names of a place within one edit, or one swap of neighbours, share one."""
 
     @lru_cache(maxsize=10_000)
     def of(name: str) -> list[str]:
-        out = {name}
-        last = {name}
-        for _ in range(2 if len(name) >= 6 else 1):
-            last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
-            out |= last
-        return sorted(out)
+        return sorted({name, *(name[:k] + name[k + 1 :] for k in range(len(name)))})
 
-    return names.map(of)
+    return pd.Series([[xxhash.xxh3_64_intdigest(f"{p}|{w}") - 2**63 for w in of(n)] for n, p in zip(names, places)])
 
 
 def _near(left: str, right: str) -> F.Column:
+    """One edit, or one swap of neighbours (two by Levenshtein, with the same letters)."""
     d = F.levenshtein(left, right)
-    return (d <= 2) & ((d <= 1) | (F.least(F.length(left), F.length(right)) >= 6))
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    return (d <= 1) | ((d == 2) & (F.length(left) == F.length(right)) & (letters(left) == letters(right)))
 
 
 def gazetteer(records: DataFrame) -> DataFrame:
@@ -163,9 +161,9 @@ def gazetteer(records: DataFrame) -> DataFrame:
     named = forms.filter("pin IS NOT NULL AND loc IS NOT NULL").groupBy("pin", "loc", "loc_kind").agg(F.sum("n").alias("n"))
     pins = named.groupBy("pin").agg(F.max(F.struct("n", "loc", "loc_kind")).alias("b")).select("pin", F.col("b.loc").alias("gloc"), F.col("b.loc_kind").alias("gkind"), F.col("b.n").alias("gn"))
     spelled = forms.filter("pin IS NULL").select("loc", "loc_kind").distinct()
-    left = spelled.select("loc", "loc_kind", F.explode(_deletions("loc")).alias("key"))
-    right = pins.select("pin", "gloc", F.col("gkind").alias("loc_kind"), "gn", F.explode(_deletions("gloc")).alias("key"))
-    close = left.join(right, ["loc_kind", "key"]).filter(_near("loc", "gloc")).select("loc", "loc_kind", F.col("pin").alias("l"), F.levenshtein("loc", "gloc").alias("cost"), "gn").distinct()
+    left = spelled.select("loc", "loc_kind", F.explode(_deletions("loc", "loc_kind")).alias("key"))
+    right = pins.select("pin", "gloc", "gn", F.explode(_deletions("gloc", "gkind")).alias("key"))
+    close = left.join(right, "key").filter(_near("loc", "gloc")).select("loc", "loc_kind", F.col("pin").alias("l"), F.levenshtein("loc", "gloc").alias("cost"), "gn").distinct()
     order = Window.partitionBy("loc", "loc_kind").orderBy("cost", F.col("gn").desc(), "l")
     close = close.withColumn("r", F.row_number().over(order)).filter("r <= 4").select("loc", "loc_kind", "l", "cost")  # the beam
 
@@ -178,15 +176,15 @@ def gazetteer(records: DataFrame) -> DataFrame:
     # streets: spellings of a locality, side and kind; a spelling that is rare everywhere goes to its most frequent neighbour
     total = hypotheses.groupBy("street").agg(F.sum("n").alias("g"))
     spell = materialise(hypotheses.groupBy("l", "side", "skind", "street").agg(F.sum(F.col("n") / (1 + F.col("cost"))).alias("n")).join(total, "street"), "spellings")
-    keyed = spell.select("l", "side", "skind", "street", "n", "g", F.explode(_deletions("street")).alias("key"))
-    other = keyed.select("l", "side", "skind", "key", F.col("street").alias("to"), F.col("n").alias("ton"), F.col("g").alias("tog"))
-    moves = keyed.join(other, ["l", "side", "skind", "key"]).filter("street <> to AND g * 4 <= tog").filter(_near("street", "to"))
+    keyed = spell.select("l", "side", "skind", "street", "g", "n", F.explode(_deletions("street", F.concat_ws("|", "l", "side", "skind"))).alias("key"))
+    other = keyed.filter("g >= 4").select("key", F.col("street").alias("to"), F.col("n").alias("ton"), F.col("g").alias("tog"))
+    moves = keyed.drop("n").join(other, "key").filter("street <> to AND g * 4 <= tog").filter(_near("street", "to"))
     best = moves.groupBy("l", "side", "skind", "street").agg(F.max(F.struct("tog", "ton", "to")).getField("to").alias("to"))
     one = spell.join(best, ["l", "side", "skind", "street"], "left").select("l", "side", "skind", "street", F.coalesce("to", "street").alias("to"), "n")
     two = one.join(best.select("l", "side", "skind", F.col("street").alias("to"), F.col("to").alias("to2")), ["l", "side", "skind", "to"], "left")
     # a locality may hold misspellings only: what has no frequent neighbour there takes the one it has among all streets
-    words = total.select("street", "g", F.explode(_deletions("street")).alias("key"))
-    frequent = words.select("key", F.col("street").alias("everywhere"), F.col("g").alias("tog"))
+    words = total.select("street", "g", F.explode(_deletions("street", F.lit(""))).alias("key"))
+    frequent = words.filter("g >= 4").select("key", F.col("street").alias("everywhere"), F.col("g").alias("tog"))
     wide = words.join(frequent, "key").filter("street <> everywhere AND g * 4 <= tog").filter(_near("street", "everywhere"))
     wide = wide.groupBy(F.col("street").alias("name")).agg(F.max(F.struct("tog", "everywhere")).getField("everywhere").alias("everywhere"))
     named = two.withColumn("name", F.coalesce("to2", "to")).join(wide, "name", "left").withColumn("name", F.coalesce("everywhere", "name"))
