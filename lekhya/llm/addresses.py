@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lekhya.session import materialise
+from lekhya.session import materialise, nonempty
 
 # Written forms of the words that address parts are made of.
 STREET_KINDS = {
@@ -121,6 +121,7 @@ def parsed(kind: str, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(record_kind, id, pin, loc, loc_kind, side, street, skind, house, flat) of the address records of a table."""
     cols = ["pin", "loc", "loc_kind", "side", "street", "kind", "house", "flat"]
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = lru_cache(maxsize=20_000)(parse)
         for b in batches:

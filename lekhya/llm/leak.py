@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.llm.hashing import flat_hashes, gram_hashes
-from lekhya.session import materialise
+from lekhya.session import materialise, nonempty
 
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -66,6 +66,7 @@ def _leaks_of_block(documents: DataFrame, rows: list, n: int, run: int) -> DataF
     known = np.unique(np.concatenate([*grams.values(), np.empty(0, dtype=np.uint64)]))
     shared = spark.sparkContext.broadcast(known)
 
+    @nonempty
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for b in batches:
@@ -99,6 +100,7 @@ def _leaks_of_block(documents: DataFrame, rows: list, n: int, run: int) -> DataF
     pairs = hits.join(seed_df, "gram").select("doc_id", "item_id").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
     boxed = spark.sparkContext.broadcast(items)
 
+    @nonempty
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = boxed.value
         for b in batches:

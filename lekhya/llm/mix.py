@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lekhya.session import lookup_rows, materialise
+from lekhya.session import lookup_rows, materialise, nonempty
 
 #: Folder of the public tokenizer files; a parameter of every function that counts tokens.
 TOKENIZERS = "/opt/tokenizers"
@@ -45,6 +45,7 @@ def _encoder(folder: str):
 def token_counts(documents: DataFrame, weight: Column, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, tokens, weight) of the documents with text."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(folder)
         for b in batches:

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from lekhya.llm.graph import components
 from lekhya.llm.hashing import flat_hashes, gram_hashes
-from lekhya.session import materialise
+from lekhya.session import materialise, nonempty
 
 
 #: Up to so many ids (8 bytes each) are broadcast to filter the documents; more are joined by a shuffle.
@@ -51,6 +51,7 @@ def signatures(documents: DataFrame, n: int = 3, min_words: int = 50, sides: int
     seeds = rng.integers(0, 2**32, size=(4 * sides, 1), dtype=np.uint32)
     odd = rng.integers(0, 2**31, size=(4 * sides, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, sizes, fps, us, vs = [], [], [], [], []
@@ -121,6 +122,7 @@ def candidates(reps: DataFrame, sides: int, threshold: float, bucket: int = 256,
     part = F.expr("CASE WHEN j < 0 THEN g ELSE xxhash64(g, j, substring(v, 4 * j + 1, 4)) END")
     rows = rows.select(part.alias("g"), F.col("j").cast("byte").alias("j"), "id", "v")
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
@@ -158,6 +160,7 @@ def candidates(reps: DataFrame, sides: int, threshold: float, bucket: int = 256,
 def _ngram_sets(documents: DataFrame, wanted: DataFrame, n: int, min_words: int) -> DataFrame:
     """(id, s binary): the 32-bit sorted n-gram hashes of the wanted documents."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, sets = [], []
@@ -177,6 +180,7 @@ def _ngram_sets(documents: DataFrame, wanted: DataFrame, n: int, min_words: int)
 def _prefix_join(sets: DataFrame, threshold: float) -> DataFrame:
     """Exact candidates (a, b) among the texts of oversized buckets: two sets over the threshold share one of their rarest members."""
 
+    @nonempty
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             arrays = [np.frombuffer(s, dtype="<u4") for s in b["s"]]

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.session import materialise
+from lekhya.session import materialise, nonempty
 
 # Words of the customary filler text.
 FILLER = frozenset(
@@ -119,6 +119,7 @@ def score_documents(documents: DataFrame, low_words: int = 60, min_copies: int =
     whose masked form occurs in at least min_copies documents. Only the short forms are shuffled, pre-aggregated by form.
     """
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, kinds, forms = [], [], []

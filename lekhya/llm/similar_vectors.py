@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.session import materialise
+from lekhya.session import materialise, nonempty
 
 
 def _unit(batch: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +163,7 @@ def neighbours(
     cells = int(min(16_384, max(1, round(3 * total**0.5))))
     wanted = min(max_sample, max(2_000, 32 * cells))
 
+    @nonempty
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             _, x = _unit(b, dim)
@@ -178,6 +179,7 @@ def neighbours(
     fitted = Quantiser.fit(sample, min(cells, len(sample)))
     shared = spark.sparkContext.broadcast((fitted.coarse, fitted.books))
 
+    @nonempty
     def light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quantiser = Quantiser(*shared.value)
         for b in batches:
@@ -192,6 +194,7 @@ def neighbours(
     big = {r.cell: -(-r["count"] // cell_rows) for r in placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().filter(F.col("count") > cell_rows).collect()}
     singles = sized.join(copies.filter("id <> rep").select("id"), "id", "left_anti")
 
+    @nonempty
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quantiser = Quantiser(*shared.value)
         for b in batches:
@@ -219,7 +222,7 @@ def neighbours(
         x = np.frombuffer(b"".join(group["v"]), dtype=np.float32).reshape(-1, dim)
         qs, bs = role & 1 > 0, role & 2 > 0
         if not qs.any() or not bs.any():
-            return pd.DataFrame({"q": [], "n": [], "cos": []})
+            return pd.DataFrame({"q": np.empty(0, dtype=np.int64), "n": np.empty(0, dtype=np.int64), "cos": np.empty(0)})
         codes = np.frombuffer(b"".join(group["c"][bs]), dtype=np.uint16).reshape(int(bs.sum()), -1)
         return _group_search(quantiser, ids[qs], x[qs], ids[bs], x[bs], codes, group["norm"].to_numpy()[bs], k, shortlist)
 
@@ -276,6 +279,7 @@ def brute_force(vectors: DataFrame, k: int = 5, dim: int = 384, id_col: str = "i
         mine = chosen.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == p).toPandas()
         boxed = spark.sparkContext.broadcast(_unit(mine, dim))
 
+        @nonempty
         def scan(batches: Iterator[pd.DataFrame], boxed=boxed) -> Iterator[pd.DataFrame]:
             q_ids, q = boxed.value
             for b in batches:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhya.session import nonempty
+
 _WORD = re.compile(r"\w+")
 _GAP = re.compile(r"\n\s*\n|\n|[.!?।;:](?=[\"')\]]*\s)")
 _WORD_END = re.compile(r"\S(?=\s)")
@@ -110,6 +112,7 @@ def items(ocr_documents: DataFrame, cleaned_texts: DataFrame) -> DataFrame:
 def split_items(df: DataFrame, limit: int = 512, overlap: int = 50) -> DataFrame:
     """(doc_id, para_no, piece_no, n_pieces, start_pos, end_pos, piece) of items (doc_id, para_no, text)."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
