@@ -10,6 +10,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
+from lekhya.session import nonempty
+
 # Known models and their dimensions.
 MODELS = {"all-MiniLM-L6-v2": 384, "all-mpnet-base-v2": 768, "paraphrase-multilingual-MiniLM-L12-v2": 384}
 _WORD = re.compile(r"\w+")
@@ -28,6 +30,7 @@ def hashed(texts: list[str], dimension: int = 384) -> np.ndarray:
 def embed_texts(df: DataFrame, key: str, text: str = "text", provider: Callable[[list[str]], np.ndarray] = hashed, batch: int = 32) -> DataFrame:
     """(key, embedding): texts in batches through a provider that is loaded once per worker. Null texts are left out."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), batch):
@@ -40,6 +43,7 @@ def embed_texts(df: DataFrame, key: str, text: str = "text", provider: Callable[
 def document_embeddings(df: DataFrame, provider: Callable[[list[str]], np.ndarray] = hashed) -> DataFrame:
     """(doc_id, embedding): the unweighted mean of the embeddings of a document's chunks. The mean is taken where the chunks are, so nothing is shuffled."""
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(d, provider(list(c)).mean(axis=0)) for d, c in zip(b["doc_id"], b["chunks"]) if c is not None and len(c)]

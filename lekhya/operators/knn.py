@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lekhya.session import nonempty
+
 METRICS = ("l2", "ip", "cosine")
 
 
@@ -58,6 +60,7 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, k: int =
             continue
         boxed = spark.sparkContext.broadcast((mine[id_col].to_numpy(), np.stack([np.asarray(v, dtype=np.float64) for v in mine["embedding"]])))
 
+        @nonempty
         def scan(batches: Iterator[pd.DataFrame], boxed=boxed) -> Iterator[pd.DataFrame]:
             ids, q = boxed.value
             for b in batches:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.session import lookup_rows
+from lekhya.session import lookup_rows, nonempty
 
 # Spellings of the units, as patterns over lower-cased text after digit and fraction folding.
 UNIT_SPELLINGS = {
@@ -178,6 +178,7 @@ def stated_quantities(entities: DataFrame, unit_factors: DataFrame) -> DataFrame
     rows = lookup_rows(unit_factors.select("unit_code", "factor"))
     factors = {r[0]: Decimal(repr(float(r[1]))) for r in rows if r[0] and r[1] is not None}
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         @lru_cache(maxsize=50_000)
         def one(kind: str, text: str | None) -> tuple[int | None, float | None]:

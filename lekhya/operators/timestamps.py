@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.session import lookup_rows
+from lekhya.session import lookup_rows, nonempty
 
 DEFAULT_ZONE, DEFAULT_ORDER = "Asia/Kolkata", "DMY"
 
@@ -177,6 +177,7 @@ def normal_dates(entities: DataFrame, documents: DataFrame, offices: DataFrame,
     place = documents.select("doc_id", "sro_code").join(office, "sro_code").select("doc_id", "_tz", "_ord").dropDuplicates(["doc_id"])
     dates = entities.filter("entity_type = 'DATE' AND entity_id IS NOT NULL").select("entity_id", "doc_id", "text")
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
         for b in batches:

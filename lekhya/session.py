@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Lookup tables (units, zones, offices, targets) that are turned into Python dictionaries must stay under this many rows.
@@ -66,3 +69,15 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for work that is heavy per row; scans that are wide enough stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def nonempty(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A batch function that passes on only results with rows: the column types of empty frames are not to be relied on."""
+
+    @wraps(f)
+    def run(batches: Iterator[pd.DataFrame], *args) -> Iterator[pd.DataFrame]:
+        for out in f((b for b in batches if len(b)), *args):
+            if len(out):
+                yield out
+
+    return run

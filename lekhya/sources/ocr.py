@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lekhya.session import nonempty
+
 IMAGES, DOCUMENTS = (".png", ".jpg", ".jpeg", ".tiff", ".bmp"), (".pdf",)
 PAGES = "file_path string, page_number int, text string, confidence double, backend string"
 #: name -> function(bytes, extension) yielding (page_number, text, confidence)
@@ -50,6 +52,7 @@ def process(files: DataFrame, backend: str = "text") -> DataFrame:
     if provider is None:
         raise ValueError(f"OCR provider {backend!r} is not registered; known: {sorted(PROVIDERS)}")
 
+    @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
