@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lekhya.functions import text as T
 from lekhya.operators import ner
-from lekhya.session import shared_dir
+from lekhya.session import shared_dir, ship
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -32,6 +32,7 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str, label: str) -> D
 
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
     """A folder of parquet files, or a single file, as a stream."""
+    ship(spark)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
