@@ -37,6 +37,13 @@ def _unit(batch: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return batch["id"].to_numpy()[ok], (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 2048) -> Iterator[pd.DataFrame]:
+    """Smaller batches: a task holds scores of so many rows against all codewords."""
+    for b in batches:
+        for s in range(0, len(b), rows):
+            yield b.iloc[s : s + rows]
+
+
 def _sized(vectors: DataFrame, dim: int, id_col: str) -> DataFrame:
     return vectors.filter(F.col(id_col).isNotNull() & (F.size("embedding") == dim)).select(F.col(id_col).alias("id"), "embedding")
 
@@ -182,7 +189,7 @@ def neighbours(
     @nonempty
     def light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quantiser = Quantiser(*shared.value)
-        for b in batches:
+        for b in _parts(batches):
             ids, x = _unit(b, dim)
             top, use = _assign(quantiser.cells_of(x @ quantiser.coarse.T), most_cells, margin)
             fps = [hash_bytes(r.tobytes()) for r in x]
@@ -197,7 +204,7 @@ def neighbours(
     @nonempty
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quantiser = Quantiser(*shared.value)
-        for b in batches:
+        for b in _parts(batches):
             ids, x = _unit(b, dim)
             table = x @ quantiser.words.T
             top, use = _assign(quantiser.cells_of(table), most_cells, margin)
