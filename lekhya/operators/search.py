@@ -13,12 +13,14 @@ from pyspark.sql.window import Window
 
 from lekhya.functions.text import preview, tokens
 from lekhya.operators import knn
+from lekhya.session import spread
 
 
 def postings(documents: DataFrame) -> DataFrame:
     """Distinct (term, doc_id) of the terms longer than two characters. Distinct within the document first, so no shuffle is needed while doc_id is a key."""
     terms = F.filter(F.array_distinct(tokens(F.col("text"))), lambda t: F.length(t) > 2)
-    return documents.filter("doc_id IS NOT NULL").select(F.explode(terms).alias("term"), "doc_id")
+    docs = documents.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    return spread(docs).select(F.explode(terms).alias("term"), "doc_id")
 
 
 def query_terms(spark: SparkSession, query: str) -> DataFrame:
