@@ -56,7 +56,7 @@ BARE = re.compile(r"(?<![\w/\-])(\d+[a-z]?(?:/\d+[a-z]?)*)(?![\w/])")
 # missing separators: before a capital that follows a small letter, between letters and long numbers, after a flat's letter
 _GLUED = [
     (re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[a-z]{2}\.)(?=[A-Z])"), " , "), (re.compile(r"(?<=[A-Za-z.])(?=\d{2,})(?<![A-Z]\.)"), " "),
-    (re.compile(r"(?<=\d)(?=[A-Z][a-z]{2})"), " , "), (re.compile(r"(\d\s?-?\s?[A-Z])(?=[A-Z][a-z])"), r"\1 , "), (re.compile(r"(?<=[a-z])(?=\d/)|(?<=L/O)(?=[A-Z])|(?<=l/o)(?=[a-z])"), " , "),
+    (re.compile(r"(?<=\d)(?=[A-Z][a-z]{2})"), " , "), (re.compile(r"(\d\s?-?\s?[A-Z])(?=[A-Z][a-z])"), r"\1 , "), (re.compile(r"(?<=\d[A-Z])(?=[A-Z]\.No)|(?<=\d-[A-Z])(?=[A-Z]\.No)|(?<=[a-z])(?=\d/)|(?<=L/O)(?=[A-Z])|(?<=l/o)(?=[a-z])"), " , "),
     (re.compile(r"(?<=[A-Za-z])(?=[Nn][Rr]\. )"), " , "),
 ]
 _KIND_WORDS = "road|street|lane|avenue|marg|colony|nagara|nagar|layout|extension|residency|towers|enclave|court|homes|arcade|heights|apartments"
