@@ -76,7 +76,7 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def lookup_rows(df: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> list:
-    """Rows of a small reference table; refuses anything that could grow with the data."""
+    """Rows of a small lookup table; refuses anything that could grow with the data."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"lookup table has more than {limit} rows")
