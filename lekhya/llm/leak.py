@@ -1,9 +1,12 @@
 """Problem 8: documents that quote passages of held-out items, with the items they leak.
 
-Seeds are word n-grams (five words) of the items. The corpus frequency of every item n-gram is counted over all
-documents; of each window of `run` consecutive item words the rarest n-gram becomes a seed, so that every shared run of
-`run` words holds at least one seed. Seeds that meet give candidate pairs of document and item; Smith-Waterman
-alignment over words scores them and also tells edited and paraphrased copies; the longest common run is kept.
+Seeds are word n-grams (five words) of the items; an item of fewer words is one seed as a whole. Every document and item
+that share a seed are a candidate pair; Smith-Waterman alignment over words scores it and also tells edited and
+paraphrased copies, as long as n consecutive words are left as they were; the longest common run is kept.
+
+Where only exact runs are asked for, fewer seeds do: the corpus frequency of every item n-gram is counted over all
+documents, and of each window of `run` consecutive item words whose n-grams all occur the rarest becomes a seed, so that
+every shared run of `run` words holds at least one.
 
 Defined results: null and blank texts leak nothing; repeated rows count once; items of any number are handled in
 blocks of at most max_items, so that what a task holds is bounded.
@@ -29,40 +32,64 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[int, int]:
-    """(best Smith-Waterman score, longest run of equal words) of two hashed word sequences, row by row.
+def align_all(docs: list[np.ndarray], items: list[np.ndarray], match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(best Smith-Waterman scores, longest runs of equal words) of pairs of hashed word sequences, all pairs row by row at once.
 
-    A row's left gaps are a running maximum of H + gap*column, so each row is a few array operations.
+    A row's left gaps are a running maximum of H + gap*column, so each row is a few array operations. Padding matches nothing, so it raises no score.
     """
-    n = len(doc)
-    if not n or not len(item):
-        return 0, 0
+    k, n, m = len(docs), max(map(len, docs), default=0), max(map(len, items), default=0)
+    best, longest = np.zeros(k, dtype=np.int32), np.zeros(k, dtype=np.int32)
+    d, w = np.zeros((k, n), dtype=np.uint64), np.ones((m, k, 1), dtype=np.uint64)
+    for j, (x, y) in enumerate(zip(docs, items)):
+        d[j, : len(x)], w[: len(y), j, 0] = x, y
     slope = gap * np.arange(n, dtype=np.int32)
-    h, run = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32)
-    best = longest = 0
-    for w in item:
-        eq = doc == w
-        new = np.zeros(n + 1, dtype=np.int32)
-        diag = np.maximum(np.maximum(h[:-1] + np.where(eq, match, mismatch), h[1:] - gap), 0)
-        new[1:] = np.maximum.accumulate(diag + slope) - slope
-        h = new
-        r = np.zeros(n + 1, dtype=np.int32)
-        r[1:] = np.where(eq, run[:-1] + 1, 0)
-        run = r
-        best, longest = max(best, int(h.max())), max(longest, int(run.max()))
+    h, run = np.zeros((k, n + 1), dtype=np.int32), np.zeros((k, n + 1), dtype=np.int32)
+    for row in w if n else ():
+        eq = d == row
+        diag = np.maximum(np.maximum(h[:, :-1] + np.where(eq, np.int32(match), np.int32(mismatch)), h[:, 1:] - gap), 0)
+        diag += slope
+        np.maximum.accumulate(diag, axis=1, out=diag)
+        diag -= slope
+        h[:, 1:] = diag
+        run[:, 1:] = (run[:, :-1] + 1) * eq
+        np.maximum(best, diag.max(axis=1), out=best)
+        np.maximum(longest, run.max(axis=1), out=longest)
     return best, longest
 
 
+def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[int, int]:
+    """(best Smith-Waterman score, longest run of equal words) of two hashed word sequences."""
+    best, longest = align_all([doc], [item], match, mismatch, gap)
+    return int(best[0]), int(longest[0])
+
+
 def _item_block(rows: list, n: int) -> dict[int, np.ndarray]:
     words = [tokens(r["text"]) for r in rows]
     h, off = flat_hashes(words)
     return {int(r["item_id"]): h[off[k] : off[k + 1]] for k, r in enumerate(rows) if len(words[k])}
 
 
-def _leaks_of_block(documents: DataFrame, rows: list, n: int, run: int) -> DataFrame:
+def _run_seeds(hits: DataFrame, grams: dict[int, np.ndarray], items: dict[int, np.ndarray], n: int, run: int) -> set[tuple[int, int]]:
+    """(item_id, gram): of each window of `run` item words that may be shared as it is, the n-gram of the fewest documents."""
+    # at most one row per n-gram of the block's items
+    freq = {r["gram"]: r["df"] for r in hits.groupBy("gram").agg(F.count_distinct("doc_id").alias("df")).collect()}
+    seeds = set()
+    for i, g in grams.items():
+        g = g.view(np.int64).tolist()
+        width = max(1, min(run - n + 1, len(g)))
+        for s in range(max(1, len(g) - width + 1)):
+            window = g[s : s + width]
+            if window and len(items[i]) >= run and all(x in freq for x in window):  # a run needs every n-gram of its window in some document
+                seeds.add((i, min(window, key=lambda x: (freq[x], x))))
+    return seeds
+
+
+def _leaks_of_block(documents: DataFrame, rows: list, n: int, run: int, exact: bool, cells: int = 16_384) -> DataFrame:
     spark = documents.sparkSession
     items = _item_block(rows, n)
-    grams = {i: gram_hashes(w, n) for i, w in items.items()}
+    size = {i: n if exact else min(n, len(w)) for i, w in items.items()}
+    sizes = sorted(set(size.values()))
+    grams = {i: gram_hashes(w, size[i]) for i, w in items.items()}
     known = np.unique(np.concatenate([*grams.values(), np.empty(0, dtype=np.uint64)]))
     shared = spark.sparkContext.broadcast(known)
 
@@ -72,30 +99,22 @@ def _leaks_of_block(documents: DataFrame, rows: list, n: int, run: int) -> DataF
         for b in batches:
             words = [tokens(t) for t in b["text"]]
             h, off = flat_hashes(words)
-            g = gram_hashes(h, n)
-            if not len(g) or not len(known):
-                continue
-            at = np.searchsorted(known, g)
-            hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == g)
-            doc = np.searchsorted(off, hit, side="right") - 1
-            inside = hit + n <= off[doc + 1]
-            hit, doc = hit[inside], doc[inside]
-            if len(hit):
-                out = pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc], "gram": g[hit].view(np.int64)})
-                yield out.drop_duplicates()
+            for k in sizes:
+                g = gram_hashes(h, k)
+                if not len(g) or not len(known):
+                    continue
+                at = np.searchsorted(known, g)
+                hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == g)
+                doc = np.searchsorted(off, hit, side="right") - 1
+                inside = hit + k <= off[doc + 1]
+                hit, doc = hit[inside], doc[inside]
+                if len(hit):
+                    out = pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc], "gram": g[hit].view(np.int64)})
+                    yield out.drop_duplicates()
 
     docs = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     hits = materialise(docs.mapInPandas(scan, "doc_id long, gram long"), "seed-hits")
-    # at most one row per n-gram of the block's items
-    freq = {r["gram"]: r["df"] for r in hits.groupBy("gram").agg(F.count_distinct("doc_id").alias("df")).collect()}
-    seeds = set()
-    for i, g in grams.items():
-        g = g.view(np.int64).tolist()
-        width = max(1, min(run - n + 1, len(g)))
-        for s in range(max(1, len(g) - width + 1)):
-            window = g[s : s + width]
-            if window and len(items[i]) >= run and all(x in freq for x in window):  # a run needs every n-gram of its window in some document
-                seeds.add((i, min(window, key=lambda x: (freq[x], x))))
+    seeds = _run_seeds(hits, grams, items, n, run) if exact else {(i, x) for i, g in grams.items() for x in g.view(np.int64).tolist()}
     seed_df = spark.createDataFrame(sorted(seeds), "item_id long, gram long")
     pairs = hits.join(seed_df, "gram").select("doc_id", "item_id").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
     boxed = spark.sparkContext.broadcast(items)
@@ -105,30 +124,40 @@ def _leaks_of_block(documents: DataFrame, rows: list, n: int, run: int) -> DataF
         items = boxed.value
         for b in batches:
             h, off = flat_hashes([tokens(t) for t in b["text"]])
-            out = []
-            for k, (doc, its) in enumerate(zip(b["doc_id"], b["items"])):
-                for i in its:
-                    w = items[int(i)]
-                    s, r = align(h[off[k] : off[k + 1]], w)
-                    out.append((doc, int(i), s, s / (2.0 * len(w)), r))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "coverage", "longest_run"])
+            ids, size = b["doc_id"].to_numpy(), np.diff(off)
+            pairs = [(k, int(i)) for k in np.argsort(size, kind="stable") for i in b["items"].iloc[k]]
+            end = 0
+            while end < len(pairs):  # documents of like length together, as many as fit in the cells
+                start, end = end, end + 1
+                while end < len(pairs) and (end - start + 1) * size[pairs[end][0]] <= cells:
+                    end += 1
+                block = pairs[start:end]
+                words = [items[i] for _, i in block]
+                s, r = align_all([h[off[k] : off[k + 1]] for k, _ in block], words)
+                yield pd.DataFrame({
+                    "doc_id": ids[[k for k, _ in block]], "item_id": [i for _, i in block], "score": s,
+                    "coverage": s / (2.0 * np.array([len(w) for w in words])), "longest_run": r,
+                })
 
     return docs.join(pairs, "doc_id").mapInPandas(score, "doc_id long, item_id long, score int, coverage double, longest_run int")
 
 
-def leaks(documents: DataFrame, items: DataFrame, n: int = 5, run: int = 12, max_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, score, coverage, longest_run): the aligned pairs of document and item that share a seed."""
+def leaks(documents: DataFrame, items: DataFrame, n: int = 5, run: int = 12, max_items: int = 20_000, exact: bool = False) -> DataFrame:
+    """(doc_id, item_id, score, coverage, longest_run): the aligned pairs of document and item that share n consecutive words, or a whole shorter item.
+
+    With `exact`, only pairs that may share `run` consecutive words are sought; others may be missing.
+    """
     items = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id"])
     total = items.count()
     blocks = max(1, -(-total // max_items) * (2 if total > max_items else 1))
     out = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        part = _leaks_of_block(documents, rows, n, run)
+        part = _leaks_of_block(documents, rows, n, run, exact)
         out = part if out is None else out.union(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("coverage").alias("coverage"), F.max("longest_run").alias("longest_run"))
 
 
 def found(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     """p8_found: documents and items that share at least `run` consecutive words."""
-    return leaks(documents, items, run=run).filter(F.col("longest_run") >= run).select("doc_id", "item_id")
+    return leaks(documents, items, run=run, exact=True).filter(F.col("longest_run") >= run).select("doc_id", "item_id")

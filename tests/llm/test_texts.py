@@ -109,6 +109,39 @@ def test_p8_alignment_tolerates_edits():
     assert score == 2 * 8 - 1 and run == 4
 
 
+def test_p8_alignment_of_many_pairs_against_plain_dynamic_programming():
+    import numpy as np
+
+    rng = random.Random(82)
+    pairs = [([rng.randrange(9, 14) for _ in range(rng.randint(0, 30))], [rng.randrange(9, 14) for _ in range(rng.randint(1, 20))]) for _ in range(60)]
+    want = []
+    for d, w in pairs:
+        h, run = ([[0] * (len(d) + 1) for _ in range(len(w) + 1)] for _ in range(2))
+        for i, x in enumerate(w, 1):
+            for j, y in enumerate(d, 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+                run[i][j] = run[i - 1][j - 1] + 1 if x == y else 0
+        want.append((max(map(max, h)), max(map(max, run))))
+    arrays = [(np.array(d, dtype=np.uint64), np.array(w, dtype=np.uint64)) for d, w in pairs]
+    assert [tuple(map(int, x)) for x in zip(*leak.align_all(*map(list, zip(*arrays))))] == want == [leak.align(*a) for a in arrays]
+
+
+def test_p8_pairs_of_edited_copies(spark):
+    rng = random.Random(81)
+    words = [[f"i{k}w{j}" for j in range(30)] for k in range(4)]
+    items = [(k, " ".join(w)) for k, w in enumerate(words)] + [(8, "three word item"), (9, " ... ")]
+    docs = []
+    for k, w in enumerate(words):  # every sixth word changed: runs of five words are left
+        docs.append((k, " ".join(["before"] * 5 + [x if j % 6 != 5 else f"new{rng.randrange(99)}" for j, x in enumerate(w)] + ["after"] * 5)))
+    docs += [(10, "here a Three-word item ends"), (11, "three item word"), (12, " ".join(words[0][3:8])), (13, " ".join(words[0][3:7])), (14, "one three word"), (15, "item")]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, 0), (1, 1), (2, 2), (3, 3), (10, 8), (12, 0)}
+    got = {(r.doc_id, r.item_id): r for r in leak.leaks(df, it).collect()}
+    assert set(got) == want == {(r.doc_id, r.item_id) for r in leak.leaks(df, it, max_items=2).collect()}
+    assert all(got[k, k].longest_run == 5 and got[k, k].coverage > 0.6 for k in range(4)) and got[10, 8].coverage == 1.0
+    assert leak.found(df, it).count() == 0
+
+
 def test_p9_shares_and_caps(spark):
     rng = random.Random(9)
     rows = [(k, "big", " ".join(rng.choices(["deed", "house", "sale"], k=rng.randint(5, 60))), rng.random()) for k in range(400)]
