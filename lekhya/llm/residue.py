@@ -36,7 +36,7 @@ _FIELD = (
     r"|(?!(?i:no|same|said)\b)(?:[A-Za-z]+(?:'s)? ){1,4}(?i:name|address|amount|date|number|here|details))"
 )
 _ANY = r"[^\[\]<>{}«»%@\n]{1,80}"
-# (family, anchors of which one must occur, pattern)
+# (family, anchors of which one must occur, pattern); the anchors of case-blind patterns are in lower case and sought in the lower-cased text
 DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("placeholder", ("{{", "}}"), re.compile(r"\{\{[^{}]{0,80}\}\}|\{%[^{}]{0,80}%\}")),
     ("placeholder", ("${", "#{", "{"), re.compile(r"[$#]\{[^{}\n]{1,80}\}|\{ ?[A-Za-z][A-Za-z0-9_.' /-]{1,60}\}")),
@@ -47,21 +47,22 @@ DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("placeholder", ("%%", "@@", "~~", "||", "##"), re.compile(r"(%%|@@|~~|\|\||##)\s?[A-Za-z][A-Za-z0-9_.' /-]{1,60}\s?\1")),
     ("placeholder", ("__",), re.compile(r"(?<!_)__(?!_)[A-Za-z][A-Za-z0-9_.' -]{0,60}?[A-Za-z0-9](?<!_)__(?!_)")),
     ("placeholder", ("%",), re.compile(r"(?<![\w%])%(?:[sdf]\b|\([a-z_]+\)[sdf]|[A-Z][A-Z_]{2,40}%)")),
-    ("placeholder", ("XX", "xxx", "Xx", "●"), re.compile(r"\b[Xx]{2}[-/.][Xx]{2}[-/.][Xx]{2,4}\b|(?:Rs\.?|INR|₹)\s?[Xx]{3,}|\b(?:[Xx]{4,}\b[ -]?){1,}|[●]{1,} ?(?:square|rupees|day|years)")),
+    ("placeholder", ("xx", "●"), re.compile(r"\b[Xx]{2}[-/.][Xx]{2}[-/.][Xx]{2,4}\b|(?:Rs\.?|INR|₹)\s?[Xx]{3,}|\b(?:[Xx]{4,}\b[ -]?){1,}|[●]{1,} ?(?:square|rupees|day|years)")),
     ("instruction", ("TODO", "FIXME", "TBD", "T.B.D", "TBC"), re.compile(r"\b(?:TODO|FIXME|TBD|TBC)\b\s?[:;\-–(]|\((?:TBD|TBC)\)|\b(?:TODO|FIXME)\b")),
-    ("instruction", ("strike out", "delete as", "whichever is", "to be filled", "fill in", "insert ", "Insert ", "delete whichever", "tick ", "(specify"), re.compile(r"(?i)\((?:strike out|delete|insert|fill in|tick|specify|to be filled|here (?:insert|enter|set out))\b[^()\n]{0,80}\)|<?\b(?:insert|fill in) [a-z' ]{2,40} here\b")),
+    ("instruction", ("(strike out", "(delete", "(insert", "(fill in", "(tick", "(specify", "(to be filled", "(here ", "insert ", "fill in "), re.compile(r"(?i)\((?:strike out|delete|insert|fill in|tick|specify|to be filled|here (?:insert|enter|set out))\b[^()\n]{0,80}\)|<?\b(?:insert|fill in) [a-z' ]{2,40} here\b")),
     ("substitution", ("NaN", "#REF!", "#VALUE!", "#N/A", "#NAME?", "#DIV/0!", "#NULL!", "#NUM!", "[object Object]", "&nbsp;", "(null)", "None None", "&amp;nbsp"), re.compile(r"(?<![A-Za-z])NaN(?![A-Za-z])|#(?:REF!|VALUE!|N/A|NAME\?|DIV/0!|NULL!|NUM!)|\[object Object\]|(?:&nbsp;|&amp;nbsp;)|\(null\)|\bNone None\b")),
     ("substitution", ("undefined", "null"), re.compile(r"\bundefined (?:son|daughter|wife|of|at|undefined|null)\b|\b(?:son|daughter|wife|resident) of (?:null|undefined)\b|\b(?:null|undefined)[, ]+(?:null|undefined)\b|\b(?:Rs\.?|INR|₹|No\.?:?|dated|on|at|by|aged) (?:null|undefined)\b(?! and void)")),
-    ("script", ("JavaScript", "Javascript", "javascript", "noscript", "JAVASCRIPT"), re.compile(r"(?i)<\s?noscript|(?:enable|activate|turn on|switch on|requires?|needs?|without) (?:javascript|js)\b|(?:javascript|js) (?:is|must be|should be|has to be|seems to be|appears to be) (?:disabled|enabled|turned off|turned on|switched off|switched on|required|off|blocked|not enabled)|javascript (?:required|disabled)")),
-    ("script", ("browser", "scripts", "cookies", "scripting", "Cookies", "Scripts"), re.compile(r"(?i)\bneeds? (?:scripts|cookies)[^.\n]{0,60}\b(?:browser|switched on|turned on|enabled)|allow cookies|(?:enable|accept|allow) (?:scripts?|cookies|scripting)|activate scripting|your browser (?:does not|doesn't|is not|isn't|is too)|(?:scripts?|cookies) (?:are|is|must be) (?:disabled|blocked|turned off|required|enabled)|(?:scripts|cookies) (?:to|and \w+ to) continue")),
+    ("script", ("javascript", "noscript", "js"), re.compile(r"(?i)<\s?noscript|(?:enable|activate|turn on|switch on|requires?|needs?|without) (?:javascript|js)\b|(?:javascript|js) (?:is|must be|should be|has to be|seems to be|appears to be) (?:disabled|enabled|turned off|turned on|switched off|switched on|required|off|blocked|not enabled)|javascript (?:required|disabled)")),
+    ("script", ("browser", "script", "cookies"), re.compile(r"(?i)\bneeds? (?:scripts|cookies)[^.\n]{0,60}\b(?:browser|switched on|turned on|enabled)|allow cookies|(?:enable|accept|allow) (?:scripts?|cookies|scripting)|activate scripting|your browser (?:does not|doesn't|is not|isn't|is too)|(?:scripts?|cookies) (?:are|is|must be) (?:disabled|blocked|turned off|required|enabled)|(?:scripts|cookies) (?:to|and \w+ to) continue")),
     ("script", ("जावास्क्रिप्ट", "कुकी", "ब्राउज़र", "ब्राउजर"), re.compile(r"जावास्क्रिप्ट|(?:कुकी|ब्राउज़र|ब्राउजर)[^।\n]{0,60}(?:चालू|सक्षम|अनुमति|समर्थन)")),
-    ("error", ("Not Found", "not found", "Bad Gateway", "Gateway", "Forbidden", "Internal Server", "internal server", "Bad Request", "Unauthorized", "HTTP", "Error 4", "Error 5", "error 4", "error 5", "ERROR", "Unavailable"), re.compile(r"(?i)\b[45]\d\d\b\s?[-–:|]?\s?(?:error\b|(?:page )?not found|bad gateway|forbidden|internal server error|bad request|unauthori[sz]ed|gateway time-?out|service unavailable|too many requests)|\b(?:http|https?)(?:/\d\.\d)?\s?(?:status|error|code)?\s?:?\s?[45]\d\d\b|\berror (?:code )?[45]\d\d\b|internal server error|bad gateway")),
-    ("error", ("went wrong", "denied", "temporarily", "unavailable", "Too many requests", "too many requests", "expired", "page you are looking", "located on this server", "under maintenance", "under construction", "timed out", "try again later", "permission to", "could not render", "requested"), re.compile(r"(?i)something went wrong|\baccess denied\b|you do not have permission|(?:service|site|page|server) (?:is )?(?:temporarily |currently )?unavailable|temporarily unavailable|too many requests|session has (?:expired|timed out)|(?:page|record|document|file) you (?:are looking for|requested)|requested (?:record|page|url|file|document)[^.\n]{0,40}(?:could not be|was not|not) (?:located|found)|not be located on this server|\bis under (?:scheduled )?maintenance|under construction\. *|(?:request|connection|gateway|session) timed out|please try again later|could not render this")),
-    ("error", ("Traceback", "Exception", "IOError", "Error:", "Stack trace", "stack trace", "segmentation", "Warning:", "Fatal"), re.compile(r"\bTraceback\b|\b(?:IO|Value|Key|Type|Runtime|Null\w*|Syntax|OS|Name|Attribute)Error\b|\b\w+Exception\b|(?i:stack trace|fatal error|segmentation fault)|\bWarning: \w+\(")),
+    ("error", ("not found", "gateway", "forbidden", "internal server", "bad request", "unauthori", "http", "error", "unavailable", "too many requests"), re.compile(r"(?i)\b[45]\d\d\b\s?[-–:|]?\s?(?:error\b|(?:page )?not found|bad gateway|forbidden|internal server error|bad request|unauthori[sz]ed|gateway time-?out|service unavailable|too many requests)|\b(?:http|https?)(?:/\d\.\d)?\s?(?:status|error|code)?\s?:?\s?[45]\d\d\b|\berror (?:code )?[45]\d\d\b|internal server error|bad gateway")),
+    ("error", ("went wrong", "denied", "unavailable", "too many requests", "expired", "you are looking", "located on this server", "maintenance", "under construction", "timed out", "try again later", "have permission", "could not render", "requested"), re.compile(r"(?i)something went wrong|\baccess denied\b|you do not have permission|(?:service|site|page|server) (?:is )?(?:temporarily |currently )?unavailable|temporarily unavailable|too many requests|session has (?:expired|timed out)|(?:page|record|document|file) you (?:are looking for|requested)|requested (?:record|page|url|file|document)[^.\n]{0,40}(?:could not be|was not|not) (?:located|found)|not be located on this server|\bis under (?:scheduled )?maintenance|under construction\. *|(?:request|connection|gateway|session) timed out|please try again later|could not render this")),
+    ("error", ("traceback", "exception", "error", "stack trace", "segmentation", "warning:"), re.compile(r"\bTraceback\b|\b(?:IO|Value|Key|Type|Runtime|Null\w*|Syntax|OS|Name|Attribute)Error\b|\b\w+Exception\b|(?i:stack trace|fatal error|segmentation fault)|\bWarning: \w+\(")),
     ("error", ("त्रुटि", "पृष्ठ नहीं", "अनुपलब्ध", "सर्वर"), re.compile(r"त्रुटि\s*[0-9०-९]{3}|पृष्ठ नहीं मिला|सेवा[^।\n]{0,30}अनुपलब्ध|सर्वर त्रुटि")),
-    ("filler", ("dummy text", "Dummy text", "Sample text", "sample text", "Coming soon", "coming soon", "Type here", "type here", "Click to", "click to", "Test test", "test test", "asdf", "qwerty", "placeholder text", "Placeholder text", "before publishing", "goes here", "text here", "Lorem", "please ignore"), re.compile(r"(?i)\bdummy text\b|\bsample text (?:for|only|here)|(?:content|more) coming soon|\btype here to\b|\bclick (?:here )?to (?:add|enter|edit)\b|\btest test\b|\basdf\b|\bqwerty\b|\bplaceholder text\b|\breplace (?:this )?before publishing|\b(?:text|clause|content|name|description)\b[^.\n]{0,40}\bgoes here\b|\b(?:your|the) [a-z ]{0,30}text here\b|\bupload \w+ please ignore")),
+    ("filler", ("dummy text", "sample text", "coming soon", "type here", "click ", "test test", "asdf", "qwerty", "placeholder text", "before publishing", "goes here", "text here", "please ignore"), re.compile(r"(?i)\bdummy text\b|\bsample text (?:for|only|here)|(?:content|more) coming soon|\btype here to\b|\bclick (?:here )?to (?:add|enter|edit)\b|\btest test\b|\basdf\b|\bqwerty\b|\bplaceholder text\b|\breplace (?:this )?before publishing|\b(?:text|clause|content|name|description)\b[^.\n]{0,40}\bgoes here\b|\b(?:your|the) [a-z ]{0,30}text here\b|\bupload \w+ please ignore")),
     ("filler", ("यहाँ", "यहां"), re.compile(r"(?:यहाँ|यहां) (?:अपना|पाठ|लिखें|भरें|नाम|टाइप)|नमूना पाठ")),
 ]
+_CASE_BLIND = tuple("(?i" in pattern.pattern or "[Xx]" in pattern.pattern for _, _, pattern in DETECTORS)
 _BRACKET = re.compile(r"\[([^\[\]\n]{1,100})\]")
 _BRACKET_FIELD = re.compile(_FIELD)
 _WORD = re.compile(r"[a-z]+")
@@ -85,7 +86,12 @@ def has_filler(text: str, run: int = 6, share: float = 0.8) -> bool:
 
 def evidence(text: str) -> list[str]:
     """The kinds of residue that a text shows by itself, in order of detection, each once."""
-    kinds = [kind for kind, anchors, pattern in DETECTORS if any(a in text for a in anchors) and pattern.search(text)]
+    low = text.lower()
+    kinds = []
+    for (kind, anchors, pattern), blind in zip(DETECTORS, _CASE_BLIND):
+        where = low if blind else text
+        if any(a in where for a in anchors) and pattern.search(text):
+            kinds.append(kind)
     if "[" in text:
         for inner in _BRACKET.findall(text):
             inner = inner.strip()

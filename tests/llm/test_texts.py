@@ -168,3 +168,15 @@ def test_p10_cases(spark):
     got = {r.doc_id for r in residue.found(df.union(df.limit(2))).collect()}
     assert got == set(range(len(yes))) | {200, 201, 202, 203, 204}
     assert residue.found(df.limit(0)).count() == 0
+
+
+def test_p10_anchors_are_as_case_blind_as_their_patterns():
+    texts = ["503 Service Unavailable", "Service Is Temporarily UNAVAILABLE", "ACCESS DENIED", "Something Went Wrong", "Your session has Expired", "DUMMY TEXT", "(Delete as applicable)", "(Fill in date)", "(Tick)", "http 404",
+             "Error Code 404", "FATAL ERROR", "Segmentation Fault", "KeyError at line 3", "Please enable JS", "Enable Script", "on xx/xx/xx", "Is under scheduled Maintenance", "The record you are looking for", "You do not have permission.",
+             "429 Too Many Requests", "Click here to add", "TEST TEST", "Please Try Again Later", "Text Goes Here", "NEEDS COOKIES in the browser"]
+    for t in texts:
+        plain = {kind for kind, _, pattern in residue.DETECTORS if pattern.search(t)}
+        for v in (t, t.upper(), t.lower(), t.title()):
+            assert set(residue.evidence(v)) >= {kind for kind, _, pattern in residue.DETECTORS if pattern.search(v)}, v
+        assert plain, t
+    assert all(a == a.lower() for (_, anchors, _), blind in zip(residue.DETECTORS, residue._CASE_BLIND) if blind for a in anchors)
