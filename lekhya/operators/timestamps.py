@@ -5,7 +5,8 @@ components are range-checked on the calendar and the instant is put together by
 offset of a civil zone comes from the zone database.
 
 Defined results: null, empty, incomplete or impossible dates and wall times that the zone skips give null; a wall
-time that occurs twice gives the earlier instant; repeated entity rows give one row; extra columns are ignored.
+time that occurs twice gives the earlier instant; nine or ten digits count seconds since 1970, eleven to thirteen
+milliseconds (eight digits are a date, fewer name nothing); repeated entity rows give one row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ _DATE = (
     r"|(?P<m5>" + _MON + r")(?![a-z])[\s\-.,]*(?P<d5>\d{1,2})(?:st|nd|rd|th)?[\s,\-.]+(?P<y5>\d{4}|\d{2}))"
 )
 PATTERN = re.compile(
-    r"(?:(?P<epoch>\d{13}|\d{10})|" + _TIME.format("p") + r"\s+on\s+" + _DATE.replace("(?P<", "(?P<p").replace("(?P=", "(?P=p") + r"(?:" + _ZONE.replace("(?P<", "(?P<p") + r")?"
+    r"(?:(?P<epoch>\d{9,13})|" + _TIME.format("p") + r"\s+on\s+" + _DATE.replace("(?P<", "(?P<p").replace("(?P=", "(?P=p") + r"(?:" + _ZONE.replace("(?P<", "(?P<p") + r")?"
     r"|" + _DATE + r"(?:(?:\s*t\s*|\s*,?\s+(?:at\s+)?|\s*,\s*)" + _TIME.format("") + r"(?:" + _ZONE + r")?)?)[\s.,;]*",
     re.IGNORECASE,
 )
@@ -122,7 +123,7 @@ def normalise(text: str | None, zone: str | None, order: str | None, abbrevs: di
     g = m.groupdict()
     if g["epoch"]:
         n = int(g["epoch"])
-        return iso_instant(n * (1_000 if len(g["epoch"]) == 13 else 1_000_000))
+        return iso_instant(n * (1_000 if len(g["epoch"]) > 10 else 1_000_000))
     p = "p" if g["ph"] or g["phc"] else ""
     if g[p + "y1"] or g[p + "y2"]:
         k = "1" if g[p + "y1"] else "2"

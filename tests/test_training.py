@@ -16,6 +16,14 @@ def test_civil_days_round_trip():
         assert timestamps.civil_from_days(k) == tuple((start + timedelta(days=k)).timetuple()[:3])
 
 
+def test_p7_counts_before_2001():
+    n = lambda t: timestamps.normalise(t, None, None, {})
+    assert n("999999999") == "2001-09-09T01:46:39.000000Z" and n("999999999999") == "2001-09-09T01:46:39.999000Z"
+    assert n("100000000") == "1973-03-03T09:46:40.000000Z" and n("10000000000") == "1970-04-26T17:46:40.000000Z"
+    assert n("1000000000") == "2001-09-09T01:46:40.000000Z" and n("1000000000000") == "2001-09-09T01:46:40.000000Z"
+    assert n("20080925") == "2008-09-25" and n("1234567") is None and n("12345678901234") is None
+
+
 def test_dates():
     n = lambda t, zone=None, order=None: timestamps.normalise(t, zone, order, AB)
     for t, want in {
