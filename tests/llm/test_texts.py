@@ -96,8 +96,8 @@ def test_p8_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(3))
     it = spark.createDataFrame(items, "item_id long, text string")
     assert want and {tuple(r) for r in leak.found(df.union(df.limit(2)), it).collect()} == want
-    blocks = leak.leaks(df, it, max_items=4).filter("longest_run >= 12")
-    assert {(r.doc_id, r.item_id) for r in blocks.collect()} == want
+    salted = leak.leaks(df, it, hot=2).filter("longest_run >= 12")
+    assert {(r.doc_id, r.item_id) for r in salted.collect()} == want
     assert leak.found(df.limit(0), it).count() == 0 and leak.found(df, it.limit(0)).count() == 0
 
 
@@ -135,13 +135,37 @@ def test_p8_pairs_of_edited_copies(spark):
         docs.append((k, " ".join(["before"] * 5 + [x if j % 6 != 5 else f"new{rng.randrange(99)}" for j, x in enumerate(w)] + ["after"] * 5)))
     docs += [(10, "here a Three-word item ends"), (11, "three item word"), (12, " ".join(words[0][3:8])), (13, " ".join(words[0][3:7])), (14, "one three word"), (15, "item")]
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = {(0, 0), (1, 1), (2, 2), (3, 3), (10, 8), (12, 0)}
+    want = {(0, 0), (1, 1), (2, 2), (3, 3), (10, 8)}
     got = {(r.doc_id, r.item_id): r for r in leak.leaks(df, it).collect()}
-    assert set(got) == want == {(r.doc_id, r.item_id) for r in leak.leaks(df, it, max_items=2).collect()}
+    assert set(got) == want  # five words (12) are no copy of an item of thirty
+    assert {(r.doc_id, r.item_id) for r in leak.leaks(df, it, least=10, hot=1).collect()} == want | {(12, 0)}
     assert all(got[k, k].longest_run == 5 and got[k, k].coverage > 0.6 for k in range(4)) and got[10, 8].coverage == 1.0
     assert leak.found(df, it).count() == 0
 
 
+def test_p8_recall_of_planted_edited_copies(spark):
+    rng = random.Random(83)
+    vocab = [f"v{k}" for k in range(400)]
+    stock = "in witness whereof the parties have set their hands".split()  # every item and document holds it: hot n-grams
+    items = [(k, [rng.choice(vocab) for _ in range(25)] + stock + [rng.choice(vocab) for _ in range(25)]) for k in range(10)]
+    docs, want = [], set()
+    for k in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(50, 400))]
+        if k % 2:
+            i = rng.randrange(10)
+            copy, edits = [], rng.sample(range(59), 6)  # one word in ten replaced, left out or doubled
+            for j, x in enumerate(items[i][1]):
+                copy += {0: [x], 1: [rng.choice(vocab)], 2: [], 3: [x, x]}[1 + rng.randrange(3) if j in edits else 0]
+            at = rng.randrange(len(w))
+            w[at:at] = copy
+            want.add((k, i))
+        docs.append((k, " ".join(w + stock)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for hot in (20_000, 7):
+        got = {(r.doc_id, r.item_id) for r in leak.leaks(df, it, hot=hot).filter("coverage >= 0.5").collect()}
+        assert len(got & want) >= 0.95 * len(want) and len(got - want) == 0
+
+
 def test_p9_shares_and_caps(spark):
     rng = random.Random(9)
     rows = [(k, "big", " ".join(rng.choices(["deed", "house", "sale"], k=rng.randint(5, 60))), rng.random()) for k in range(400)]
