@@ -75,7 +75,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return residue.score_documents(table(spark, d, "documents")).select("doc_id", F.array_join("kinds", ",").alias("kinds"), "host_copies")
+    return residue.score_documents(table(spark, d, "documents")).select("doc_id", F.array_join("kinds", ",").alias("kinds"), "score", "host_copies")
 
 
 QUERIES = {

@@ -1,10 +1,10 @@
 """Problem 10: texts that are, or hold, template residue, filler, error pages or notices that scripts are needed.
 
-Three kinds of evidence. Placeholder detectors: families of patterns, each run only on texts that hold one of the
-family's literal anchors. Message detectors: wordings of error pages, script notices and filler. Combined host
-evidence: the terms of the address slug (doc_name), the title (first line) and the body are compared; a short text
-whose slug and title say nothing that the body confirms, and whose masked form is repeated over several records of
-the hosts (source), is a duplicated low-information response.
+Two kinds of evidence. Whole responses, whatever their wording: the terms of the address slug (doc_name), the title (first
+line) and the body are compared; a text whose slug and title the body does not confirm, that says little of its own, whose
+terms are strange to the collection and whose masked form is repeated, by the combined evidence of the hosts (source), is a
+duplicated low-information response. Residue inside deeds: detectors for fields, instructions, failed substitutions,
+messages and filler, families of patterns that each run only on texts with one of the family's literal anchors.
 
 Defined results: null and blank texts, deeds that only speak of such things, signature lines and editorial marks
 ([sic], [L.S.]) are not flagged; repeated rows of a document give one row; all lengths are read whole.
@@ -13,6 +13,7 @@ Defined results: null and blank texts, deeds that only speak of such things, sig
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,7 +40,7 @@ _ANY = r"[^\[\]<>{}«»%@\n]{1,80}"
 # (family, anchors of which one must occur, pattern); the anchors of case-blind patterns are in lower case and sought in the lower-cased text
 DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("placeholder", ("{{", "}}"), re.compile(r"\{\{[^{}]{0,80}\}\}|\{%[^{}]{0,80}%\}")),
-    ("placeholder", ("${", "#{", "{"), re.compile(r"[$#]\{[^{}\n]{1,80}\}|\{ ?[A-Za-z][A-Za-z0-9_.' /-]{1,60}\}")),
+    ("placeholder", ("${", "#{", "{"), re.compile(r"[$#]\{[^{}\n]{1,80}\}|\{\d{1,2}\}|\{ ?[A-Za-z][A-Za-z0-9_.' /-]{1,60}\}")),
     ("placeholder", ("<%", "<?", "&lt;"), re.compile(r"<%[^%<>]{0,80}%>|<\?[^<>]{0,80}\?>|&lt;[^&\n]{1,60}&gt;")),
     ("placeholder", ("<",), re.compile(r"<<" + _ANY + r">>|<(?!/)[A-Za-z][A-Za-z0-9_.'/ -]{1,60}>")),
     ("placeholder", ("«", "‹", "⟨"), re.compile(r"[«‹⟨]" + _ANY + r"[»›⟩]")),
@@ -49,7 +50,7 @@ DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("placeholder", ("%",), re.compile(r"(?<![\w%])%(?:[sdf]\b|\([a-z_]+\)[sdf]|[A-Z][A-Z_]{2,40}%)")),
     ("placeholder", ("xx", "●"), re.compile(r"\b[Xx]{2}[-/.][Xx]{2}[-/.][Xx]{2,4}\b|(?:Rs\.?|INR|₹)\s?[Xx]{3,}|\b(?:[Xx]{4,}\b[ -]?){1,}|[●]{1,} ?(?:square|rupees|day|years)")),
     ("instruction", ("TODO", "FIXME", "TBD", "T.B.D", "TBC"), re.compile(r"\b(?:TODO|FIXME|TBD|TBC)\b\s?[:;\-–(]|\((?:TBD|TBC)\)|\b(?:TODO|FIXME)\b")),
-    ("instruction", ("(strike out", "(delete", "(insert", "(fill in", "(tick", "(specify", "(to be filled", "(here ", "insert ", "fill in "), re.compile(r"(?i)\((?:strike out|delete|insert|fill in|tick|specify|to be filled|here (?:insert|enter|set out))\b[^()\n]{0,80}\)|<?\b(?:insert|fill in) [a-z' ]{2,40} here\b")),
+    ("instruction", ("(strike out", "(delete", "(insert", "(fill in", "(tick", "(specify", "to be ", "(here ", "insert ", "fill in ", " here to ", "click to "), re.compile(r"(?i)\b(?:click|tap|press|touch|type|write|enter)(?: or (?:click|tap))?(?: here)? to (?:add|edit|enter|insert|type|fill|write|choose|select)\b|\([^()\n]{0,60}\bto be (?:typed|filled|inserted|entered|added|written|completed|supplied|confirmed)\b[^()\n]{0,40}\)|\((?:strike out|delete|insert|fill in|tick|specify|to be filled|here (?:insert|enter|set out))\b[^()\n]{0,80}\)|<?\b(?:insert|fill in) [a-z' ]{2,40} here\b")),
     ("substitution", ("NaN", "#REF!", "#VALUE!", "#N/A", "#NAME?", "#DIV/0!", "#NULL!", "#NUM!", "[object Object]", "&nbsp;", "(null)", "None None", "&amp;nbsp"), re.compile(r"(?<![A-Za-z])NaN(?![A-Za-z])|#(?:REF!|VALUE!|N/A|NAME\?|DIV/0!|NULL!|NUM!)|\[object Object\]|(?:&nbsp;|&amp;nbsp;)|\(null\)|\bNone None\b")),
     ("substitution", ("undefined", "null"), re.compile(r"\bundefined (?:son|daughter|wife|of|at|undefined|null)\b|\b(?:son|daughter|wife|resident) of (?:null|undefined)\b|\b(?:null|undefined)[, ]+(?:null|undefined)\b|\b(?:Rs\.?|INR|₹|No\.?:?|dated|on|at|by|aged) (?:null|undefined)\b(?! and void)")),
     ("script", ("javascript", "noscript", "js"), re.compile(r"(?i)<\s?noscript|(?:enable|activate|turn on|switch on|requires?|needs?|without) (?:javascript|js)\b|(?:javascript|js) (?:is|must be|should be|has to be|seems to be|appears to be) (?:disabled|enabled|turned off|turned on|switched off|switched on|required|off|blocked|not enabled)|javascript (?:required|disabled)")),
@@ -59,14 +60,15 @@ DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("error", ("went wrong", "denied", "unavailable", "too many requests", "expired", "you are looking", "located on this server", "maintenance", "under construction", "timed out", "try again later", "have permission", "could not render", "requested"), re.compile(r"(?i)something went wrong|\baccess denied\b|you do not have permission|(?:service|site|page|server) (?:is )?(?:temporarily |currently )?unavailable|temporarily unavailable|too many requests|session has (?:expired|timed out)|(?:page|record|document|file) you (?:are looking for|requested)|requested (?:record|page|url|file|document)[^.\n]{0,40}(?:could not be|was not|not) (?:located|found)|not be located on this server|\bis under (?:scheduled )?maintenance|under construction\. *|(?:request|connection|gateway|session) timed out|please try again later|could not render this")),
     ("error", ("traceback", "exception", "error", "stack trace", "segmentation", "warning:"), re.compile(r"\bTraceback\b|\b(?:IO|Value|Key|Type|Runtime|Null\w*|Syntax|OS|Name|Attribute)Error\b|\b\w+Exception\b|(?i:stack trace|fatal error|segmentation fault)|\bWarning: \w+\(")),
     ("error", ("त्रुटि", "पृष्ठ नहीं", "अनुपलब्ध", "सर्वर"), re.compile(r"त्रुटि\s*[0-9०-९]{3}|पृष्ठ नहीं मिला|सेवा[^।\n]{0,30}अनुपलब्ध|सर्वर त्रुटि")),
-    ("filler", ("dummy text", "sample text", "coming soon", "type here", "click ", "test test", "asdf", "qwerty", "placeholder text", "before publishing", "goes here", "text here", "please ignore"), re.compile(r"(?i)\bdummy text\b|\bsample text (?:for|only|here)|(?:content|more) coming soon|\btype here to\b|\bclick (?:here )?to (?:add|enter|edit)\b|\btest test\b|\basdf\b|\bqwerty\b|\bplaceholder text\b|\breplace (?:this )?before publishing|\b(?:text|clause|content|name|description)\b[^.\n]{0,40}\bgoes here\b|\b(?:your|the) [a-z ]{0,30}text here\b|\bupload \w+ please ignore")),
+    ("filler", ("dummy text", "sample text", "coming soon", "test test", "asdf", "qwerty", "placeholder text", "before publishing", "goes here", "text here", "please ignore"), re.compile(r"(?i)\bdummy text\b|\bsample text (?:for|only|here)|(?:content|more) coming soon|\btest test\b|\basdf\b|\bqwerty\b|\bplaceholder text\b|\breplace (?:this )?before publishing|\b(?:text|clause|content|name|description)\b[^.\n]{0,40}\bgoes here\b|\b(?:your|the) [a-z ]{0,30}text here\b|\bupload \w+ please ignore")),
     ("filler", ("यहाँ", "यहां"), re.compile(r"(?:यहाँ|यहां) (?:अपना|पाठ|लिखें|भरें|नाम|टाइप)|नमूना पाठ")),
 ]
 _CASE_BLIND = tuple("(?i" in pattern.pattern or "[Xx]" in pattern.pattern for _, _, pattern in DETECTORS)
 _BRACKET = re.compile(r"\[([^\[\]\n]{1,100})\]")
 _BRACKET_FIELD = re.compile(_FIELD)
 _WORD = re.compile(r"[a-z]+")
-_DEED = re.compile(r"(?i)\b(?:executed|vendor|purchaser|witness(?:es)?|attestors?|donee|deed|survey no|sub-registrar|rupees)\b|विलेख|विक्रेता|साक्षी|गवाह|तहसील")
+_SLUG = re.compile(r"[^\W\d_]{2,}")
+_EDGES = ".,;:!?()[]{}<>\"'“”‘’।-–—/*#|"
 _MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 
 
@@ -110,44 +112,98 @@ def masked_form(text: str) -> str:
     return " ".join(_MASK.sub("#", text.lower()).split())
 
 
-def title_slug_overlap(doc_name: str | None, text: str) -> bool:
-    """Whether a term of the address slug or of the title occurs in the body."""
-    title, _, body = text.strip().partition("\n")
-    slug = set(_WORD.findall((doc_name or "").rpartition(".")[0].lower())) - {"scan", "doc", "copy"}
-    terms = {w for w in slug | set(_WORD.findall(title.lower())) if len(w) > 3}
-    return bool(terms & set(_WORD.findall(body.lower())))
+def _terms(text: str) -> set[str]:
+    """Lower-cased words of any script without numbers."""
+    return {w for x in text.lower().split() if (w := x.strip(_EDGES)) and not any(c.isdigit() for c in w)}
 
 
-def score_documents(documents: DataFrame, low_words: int = 60, min_copies: int = 4) -> DataFrame:
-    """(doc_id, kinds, host_copies): one row per document that shows residue; kinds is an array of evidence names.
+def profile(doc_name: str | None, text: str) -> tuple[float, float, int]:
+    """(mismatch, low, specifics) of a text, wording apart.
 
-    `duplicated` is given to texts under low_words words without deed wording, with no slug or title term in the body,
-    whose masked form occurs in at least min_copies documents. Only the short forms are shuffled, pre-aggregated by form.
+    mismatch: how few of the terms of the address slug and the title (first line) the body confirms; 0 where at least two do.
+    low: how little the text says of its own; specifics are the numbers, and the names (capitals inside a sentence), and a text of
+    which a fifth of the words are specific has 0.
+    """
+    title, _, body = text.strip().partition("\n")
+    slug = _SLUG.findall((doc_name or "").rpartition(".")[0].lower())
+    head = {w for w in _terms(title) | set(slug) if len(w) > 3}
+    confirmed = len(head & _terms(body))
+    words = text.split()
+    specifics, fresh = 0, True
+    for w in words:
+        if any(c.isdigit() for c in w) or not fresh and w[0].isupper():
+            specifics += 1
+        fresh = w[-1] in ".!?:।"
+    return 1 - min(confirmed, 2) / 2, max(0.0, 1 - specifics / (0.2 * max(1, len(words)))), specifics
+
+
+def score_documents(documents: DataFrame, threshold: float = 2.75, chance: float = 1e-5, rare: float = 0.005) -> DataFrame:
+    """(doc_id, kinds, score, host_copies): one row per document that shows residue; kinds is an array of evidence names.
+
+    `duplicated` is given by the sum of four kinds of evidence, each from 0 to 1, for texts of any length:
+    mismatch and low as in profile; off-topic: the share of the text's terms that under `rare` of all records with content of
+    their own hold, 1 from three in ten on; repeated: the bits by which the copies of its masked form on each host (source)
+    exceed what a rate of `chance` of the host's records explains, added up over the hosts, with one bit for each doubling of
+    the hosts, 1 from two bits on. The rates are shares, so a table of any size is judged alike. One scan of the texts; counts
+    are added up in the tasks before they are shuffled.
     """
 
     @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = ["doc_id", "source", "kinds", "form", "base", "terms", "term", "n"]
+        heads: Counter = Counter()
+        records = 0
+
+        def counts() -> pd.DataFrame:
+            k = len(heads)
+            nothing = [None] * k
+            return pd.DataFrame(dict(zip(cols, (nothing, nothing, nothing, nothing, nothing, nothing, list(heads), list(heads.values())))), columns=cols)
+
         for b in batches:
-            ids, kinds, forms = [], [], []
-            for doc, name, text in zip(b["doc_id"], b["doc_name"], b["text"]):
+            rows = []
+            for doc, name, source, text in zip(b["doc_id"], b["doc_name"], b["source"], b["text"]):
                 if not text or not text.strip():
                     continue
                 found = evidence(text)
-                short = len(text) < low_words * 12 and len(text.split()) < low_words and not _DEED.search(text) and not title_slug_overlap(name, text)
-                if found or short:
-                    ids.append(doc)
-                    kinds.append(found)
-                    forms.append(masked_form(text) if short else None)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "kinds": kinds, "form": pd.array(forms, dtype="string")})
-
-    hits = documents.filter("doc_id IS NOT NULL").select("doc_id", "doc_name", "text").mapInPandas(run, "doc_id long, kinds array<string>, form string")
-    hits = hits.withColumn("form", F.when(F.col("form").isNotNull(), F.xxhash64("form"))).dropDuplicates(["doc_id"])
-    hits = materialise(hits, "residue")
-    copies = hits.filter("form IS NOT NULL").groupBy("form").agg(F.count("*").alias("host_copies"))
-    joined = hits.join(copies, "form", "left").withColumn("dup", F.coalesce(F.col("host_copies") >= min_copies, F.lit(False)))
-    return joined.select(
-        "doc_id", F.when(F.col("dup"), F.array_union("kinds", F.array(F.lit("duplicated")))).otherwise(F.col("kinds")).alias("kinds"), "host_copies"
-    ).filter(F.size("kinds") > 0)
+                mismatch, low, specifics = profile(name, text)
+                own = _terms(text)
+                if specifics >= 4:
+                    heads.update(own)
+                    records += 1
+                alone = mismatch + low > threshold - 2  # the other two add at most 2
+                if found or alone:
+                    rows.append((doc, source or "", found, masked_form(text) if alone else None, mismatch + low if alone else None, list(own) if alone else None, None, None))
+            yield pd.DataFrame(rows, columns=cols)
+            if len(heads) > 300_000:
+                yield counts()
+                heads.clear()
+        heads[""] = records
+        yield counts()
+
+    schema = "doc_id long, source string, kinds array<string>, form string, base double, terms array<string>, term string, n long"
+    docs = documents.filter("doc_id IS NOT NULL").select("doc_id", "doc_name", "source", "text")
+    seen = docs.mapInPandas(run, schema).withColumn("form", F.when(F.col("form").isNotNull(), F.xxhash64("form")))
+    seen = materialise(seen, "residue")
+    hits = seen.filter("doc_id IS NOT NULL").select("doc_id", "source", "kinds", "form", "base", "terms").dropDuplicates(["doc_id"])
+    alone = hits.filter("form IS NOT NULL")
+
+    df = seen.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    records = df.filter("term = ''").agg(F.max("n")).first()[0] or 0
+    forms = alone.groupBy("form").agg(F.min_by("terms", "doc_id").alias("terms"))
+    common = df.filter((F.col("n") >= rare * records) & (F.col("term") != "")).select("term", F.lit(1).alias("known"))
+    topics = forms.select("form", F.explode("terms").alias("term")).join(common, "term", "left").groupBy("form").agg((1 - F.count("known") / F.count("*")).alias("off"))
+
+    hosts = documents.filter("doc_id IS NOT NULL").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("size"))
+    per_host = alone.groupBy("form", "source").agg(F.count("*").alias("c")).join(hosts, "source")
+    bits = F.greatest(F.lit(0.0), F.log2("c") - F.log2(1 + F.col("size") * chance))
+    copies = per_host.groupBy("form").agg((F.sum(bits) + F.log2(F.count("*"))).alias("bits"), F.sum("c").alias("host_copies"))
+
+    judged = hits.join(topics, "form", "left").join(copies, "form", "left")
+    extra = F.least(F.lit(1.0), F.col("off") / 0.3) + F.least(F.lit(1.0), F.col("bits") / 2)
+    judged = judged.withColumn("score", F.round(F.col("base") + extra, 4))
+    dup = F.coalesce((F.col("bits") > 0) & (F.col("score") >= threshold), F.lit(False))
+    kinds = F.when(dup, F.array_union("kinds", F.array(F.lit("duplicated")))).otherwise(F.col("kinds"))
+    return judged.select("doc_id", kinds.alias("kinds"), "score", "host_copies").filter(F.size("kinds") > 0)
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -187,13 +187,41 @@ def test_p10_cases(spark):
           "Counsel recorded that the portal wanted scripts and cookies before it showed the index.", "Sites (A) and [B] on the plan are excluded.", "An error in page six of the former deed is set right.", "at 22:38 [Asia/Kolkata] by the clerk",
           "Since the server of the registry was down the parties were told to return.", "Both parties used the society's template wording.", "null and void", "", None, "No. 404/4, East Road, 500 sq ft"]
     docs = [(k, t) for k, t in enumerate(yes)] + [(100 + k, t) for k, t in enumerate(no)]
-    docs += [(200 + k, f"Widget box {k:06d} is idle") for k in range(5)]  # an unknown response, repeated
-    df = spark.createDataFrame([(i, "sale_deed_1.pdf", t) for i, t in docs], "doc_id long, doc_name string, text string").withColumn("kinds", F.lit(1))
+    df = spark.createDataFrame([(i, "sale_deed_1.pdf", t, "host") for i, t in docs], "doc_id long, doc_name string, text string, source string").withColumn("kinds", F.lit(1))
     got = {r.doc_id for r in residue.found(df.union(df.limit(2))).collect()}
-    assert got == set(range(len(yes))) | {200, 201, 202, 203, 204}
+    assert got == set(range(len(yes)))
     assert residue.found(df.limit(0)).count() == 0
 
 
+def test_p10_whole_responses_of_unseen_wording_by_host_evidence(spark):
+    rng = random.Random(10)
+    names = ["Asha Rao", "Ravi Iyer", "Meena Das", "Kiran Bhat", "Lata Nair", "Dev Joshi"]
+
+    def deed(k):
+        parts = [f"Sale Deed\nThis deed of sale is made on {rng.randint(1, 28)}-0{rng.randint(1, 9)}-2011 between {rng.choice(names)} and {rng.choice(names)} of Plot {rng.randint(1, 999)}"]
+        parts += [f"the seller conveys the land of {rng.randint(10, 99)} acres to {rng.choice(names)} for Rs {rng.randint(1000, 9999)} under deed {rng.randint(1, 999)}" for _ in range(5)]
+        return ". ".join(parts)
+
+    docs = [(k, f"sale_deed_{k}.pdf", deed(k), f"h{k % 4}") for k in range(400)]
+    docs += [(1000 + k, f"scan_{k}.pdf", docs[7][2], "h1") for k in range(60)]  # copies of one deed: repeated, but full of content
+    short = "The vault viewer naps. Come back once somebody has woken it. Ticket %d"
+    long = "Nothing is shown. " + " ".join("Our keepers regret that nobody could find whatever you wished for, so kindly wander elsewhere." for _ in range(40)) + " Ticket %d"
+    docs += [(2000 + k, "gift_deed_3.pdf", short % k, "h2") for k in range(3)]  # three copies on one host
+    docs += [(2100 + k, f"will_{k}.pdf", long % k, f"h{k % 3}") for k in range(6)]  # long pages, two on each of three hosts
+    docs += [(2200, "sale_deed_9.pdf", "Kindly whistle twice and wait.", "h0"), (2201, None, "Kindly hum", None)]  # strange, but seen once
+    df = spark.createDataFrame(docs, "doc_id long, doc_name string, text string, source string")
+    got = {r.doc_id: r for r in residue.score_documents(df).collect()}
+    assert set(got) == {2000, 2001, 2002, *range(2100, 2106)}
+    assert all(r.kinds == ["duplicated"] for r in got.values()) and got[2000].host_copies == 3
+
+
+def test_p10_fields_of_unseen_names():
+    for t in ("paid on {0} and {1}", "Press or tap here to enter the seller's age", "(NAME OF WITNESS TO BE TYPED)", "signed at {{ anyNewField7 }}", "of $" + "{a.b}", "living at __where_they_live__"):
+        assert residue.evidence(t), t
+    for t in ("A sum is to be settled within 9 days (to be paid to the vendor).", "from here on called the VENDOR", "the survey (No. 3) is to be filled by hand"):
+        assert not residue.evidence(t), t
+
+
 def test_p10_anchors_are_as_case_blind_as_their_patterns():
     texts = ["503 Service Unavailable", "Service Is Temporarily UNAVAILABLE", "ACCESS DENIED", "Something Went Wrong", "Your session has Expired", "DUMMY TEXT", "(Delete as applicable)", "(Fill in date)", "(Tick)", "http 404",
              "Error Code 404", "FATAL ERROR", "Segmentation Fault", "KeyError at line 3", "Please enable JS", "Enable Script", "on xx/xx/xx", "Is under scheduled Maintenance", "The record you are looking for", "You do not have permission.",
