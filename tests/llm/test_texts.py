@@ -8,8 +8,9 @@ from lekhya.llm import addresses, leak, mix, ocr_repair, residue, split
 
 
 def test_p2_lines(spark):
-    body = ["The vendor has handed over the keys to the purchaser in the pres-", "ence of two witnesses and the regis-", "trar of this sub-registrar office, and the purchaser", "has received the keys of the house."]
-    rows = [(1, p, "Page %d of 9\n%s\n\nCONFIDENTIAL" % (p, "\n".join(body))) for p in range(1, 9)]
+    sayings = ["amber", "birch", "cedar", "dune", "ember", "fern", "grove", "heath"]  # every page says something else
+    body = lambda x: [f"The {x} vendor has handed over the keys to the purchaser in the pres-", f"ence of {x} witnesses and the regis-", f"trar of {x} at this sub-registrar office, and the purchaser", f"has {x} received the keys of the house."]
+    rows = [(1, p, "Page %d of 9\n%s\n\nCONFIDENTIAL" % (p, "\n".join(body(sayings[p - 1])))) for p in range(1, 9)]
     bad = "Page 9 of 9\nThe vendor has handed over the kcys on 1O March 2O15 at the sub-\nregistrar office of\n\nthe purchaser and the hou-\n\n9"
     rows += [(1, 9, bad), (1, 9, bad), (1, 10, None), (1, 11, "se of the vendor."), (2, 1, "")]
     pages = spark.createDataFrame(rows, "doc_id long, page_number int, text string").withColumn("confidence", F.lit(0.5))
@@ -17,11 +18,55 @@ def test_p2_lines(spark):
     got = {(r.page_number, r.line_no, r.kind) for r in ocr_repair.found(pages, cleaned).collect()}
     assert {(1, 0, "furniture"), (1, 1, "hyphen"), (1, 2, "hyphen"), (1, 6, "furniture")} == {x for x in got if x[0] == 1}
     assert {x for x in got if x[0] == 9} == {(9, 0, "furniture"), (9, 1, "misread"), (9, 4, "hyphen"), (9, 6, "furniture")}
+    # the stamp that stands across sentences, and the running lines, are learned
     text = " ".join(r.text for r in ocr_repair.paragraphs(pages).orderBy("para_no").collect())
-    assert "presence of two witnesses and the registrar of this" in text and "has handed over the keys on 10 March 2015" in text and "the house of the vendor" in text and "CONFIDENTIAL" not in text
+    assert "presence of amber witnesses and the registrar of amber at" in text and "has handed over the keys on 10 March 2015" in text and "the house of the vendor" in text and "CONFIDENTIAL" not in text
     assert ocr_repair.found(pages.limit(0), cleaned).count() == 0
 
 
+def test_p2_furniture_is_learned_whatever_its_words(spark):
+    rng = random.Random(21)
+    vocab = "the seller gives land near old river bank with all rights and trees to buyer who pays price before witness at village".split()
+    rows = []
+    for d in range(8):
+        for p in range(1, 5):
+            body = []
+            for _ in range(4):  # wrapped paragraphs
+                words, line = [rng.choice(vocab) for _ in range(30)], ""
+                for w in words:
+                    if len(line) + 1 + len(w) > 50:
+                        body.append(line)
+                        line = ""
+                    line = f"{line} {w}".strip()
+                body.append(line + ".")
+            if p == 2:
+                body.insert(2, "ZEPHYR GUILD")  # a stamp across a sentence
+            title = ["QUITCLAIM WRIT", ""] if p == 1 else []
+            rows.append((d, p, "\n".join([f"Quill {p} ov {d + 4}", *title, *body, "Kept by the moonlit guild" if p % 3 else "Kept by the rnoonlit guiId"])))
+    pages = spark.createDataFrame(rows, "doc_id long, page_number int, text string")
+    got = {(r.doc_id, r.page_number, r.line_no) for r in ocr_repair.found(pages, spark.createDataFrame([], "doc_id long, original string")).filter("kind = 'furniture'").collect()}
+    want = set()
+    for d, p, t in rows:
+        want |= {(d, p, k) for k, x in enumerate(t.split("\n")) if x.startswith(("Quill", "Kept")) or x == "ZEPHYR GUILD"}
+    assert got == want  # the title, once in each document, is deed text
+
+
+def test_p2_plain_edits_and_context_at_the_parameters_in_use():
+    words = {"registration": 900, "boundary": 700, "of": 5000, "the": 9000, "stones": 400, "fee": 600, "a": 3000, "sale": 800, "house": 900, "kalyanagiri": 500, "vendor": 900, "send": 200, "east": 500, "ensued": 90}
+    pairs = {("the", "boundary"): 90, ("boundary", "stones"): 80, ("the", "registration"): 90, ("registration", "fee"): 70, ("the", "vendor"): 99}
+    lex = ocr_repair.Lexicon(words, pairs, names=frozenset({"kalyanagiri"}))
+    assert ocr_repair.repair_line("the registrtion fee, the boundarry stones", lex) == "the registration fee, the boundary stones"
+    assert ocr_repair.repair_line("the vebdor of the bounxary stones", lex) == "the vebdor of the boundary stones"  # no neighbour after vebdor
+    assert ocr_repair.repair_line("the $ale of o house", lex) == "the sale of a house"
+    assert ocr_repair.repair_line("the Kalyxnagiri stones, THE BOUNDXRY STONES", lex) == "the Kalyxnagiri stones, THE BOUNDXRY STONES"
+    for word in ("registrtion", "boundry", "boundarry", "vebdor"):
+        assert lex.candidates(word)
+    for line in ("the registrtion fee", "the $ale of o house", "Tbe b0undary st0nes"):  # one walk for both
+        edits = ocr_repair.word_edits(line, lex)
+        assert edits and ocr_repair.findings([line], ["deed"], None, None, lex) == [(0, "misread")]
+    assert not ocr_repair.findings(["the sale of a house"], ["deed"], None, None, lex)
+
+
 def test_automaton_finds_all_lexicon_words_within_the_cost():
     rng = random.Random(4)
     words = {"".join(rng.choice("abcde") for _ in range(rng.randint(2, 5))): 10 for _ in range(300)}
