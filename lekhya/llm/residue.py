@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,29 +113,50 @@ def masked_form(text: str) -> str:
     return " ".join(_MASK.sub("#", text.lower()).split())
 
 
+class _Memo(dict):
+    """A bounded cache of a function of one word."""
+
+    def __init__(self, f, most: int = 300_000):
+        self.f, self.most = f, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.f(key)
+        return out
+
+
+#: A lower-cased word without punctuation, '' for numbers.
+_TERM = _Memo(lambda w: "" if any(c.isdigit() for c in w) else w.strip(_EDGES))
+#: What a word is: 1 for a number, 2 for a capital, 4 for the end of a sentence.
+_SORT = _Memo(lambda w: 1 * any(c.isdigit() for c in w) | 2 * w[0].isupper() | 4 * (w[-1] in ".!?:।"))
+
+
 def _terms(text: str) -> set[str]:
     """Lower-cased words of any script without numbers."""
-    return {w for x in text.lower().split() if (w := x.strip(_EDGES)) and not any(c.isdigit() for c in w)}
+    out = {_TERM[w] for w in set(text.lower().split())}
+    out.discard("")
+    return out
 
 
-def profile(doc_name: str | None, text: str) -> tuple[float, float, int]:
-    """(mismatch, low, specifics) of a text, wording apart.
+def profile(doc_name: str | None, text: str, terms: set[str]) -> tuple[float, float, int]:
+    """(mismatch, low, specifics) of a text, wording apart; `terms` are those of the whole text.
 
-    mismatch: how few of the terms of the address slug and the title (first line) the body confirms; 0 where at least two do.
     low: how little the text says of its own; specifics are the numbers, and the names (capitals inside a sentence), and a text of
     which a fifth of the words are specific has 0.
+    mismatch: how few of the terms of the address slug and the title (first line) the body confirms; 0 where at least two do. It is
+    compared only for texts with low > 0, and 0 for others.
     """
+    sorts = np.frombuffer(bytes(map(_SORT.__getitem__, text.split())), dtype=np.uint8)
+    inner = (sorts[1:] & 2 > 0) & (sorts[:-1] & 4 == 0) & (sorts[1:] & 1 == 0)
+    specifics = int((sorts & 1).sum()) + int(inner.sum())
+    low = max(0.0, 1 - specifics / (0.2 * max(1, len(sorts))))
+    if not low:
+        return 0.0, low, specifics
     title, _, body = text.strip().partition("\n")
     slug = _SLUG.findall((doc_name or "").rpartition(".")[0].lower())
-    head = {w for w in _terms(title) | set(slug) if len(w) > 3}
-    confirmed = len(head & _terms(body))
-    words = text.split()
-    specifics, fresh = 0, True
-    for w in words:
-        if any(c.isdigit() for c in w) or not fresh and w[0].isupper():
-            specifics += 1
-        fresh = w[-1] in ".!?:।"
-    return 1 - min(confirmed, 2) / 2, max(0.0, 1 - specifics / (0.2 * max(1, len(words)))), specifics
+    head = {w for w in _terms(title) | set(slug) if len(w) > 3} & terms
+    return 1 - min(len(head & _terms(body)), 2) / 2, low, specifics
 
 
 def score_documents(documents: DataFrame, threshold: float = 2.75, chance: float = 1e-5, rare: float = 0.005) -> DataFrame:
@@ -144,7 +166,7 @@ def score_documents(documents: DataFrame, threshold: float = 2.75, chance: float
     mismatch and low as in profile; off-topic: the share of the text's terms that under `rare` of all records with content of
     their own hold, 1 from three in ten on; repeated: the bits by which the copies of its masked form on each host (source)
     exceed what a rate of `chance` of the host's records explains, added up over the hosts, with one bit for each doubling of
-    the hosts, 1 from two bits on. The rates are shares, so a table of any size is judged alike. One scan of the texts; counts
+    the hosts, 1 from two bits on. Texts with low under 0.1 have content of their own and are not judged. The rates are shares, so a table of any size is judged alike. One scan of the texts; counts
     are added up in the tasks before they are shuffled.
     """
 
@@ -165,12 +187,12 @@ def score_documents(documents: DataFrame, threshold: float = 2.75, chance: float
                 if not text or not text.strip():
                     continue
                 found = evidence(text)
-                mismatch, low, specifics = profile(name, text)
                 own = _terms(text)
+                mismatch, low, specifics = profile(name, text, own)
                 if specifics >= 4:
                     heads.update(own)
                     records += 1
-                alone = mismatch + low > threshold - 2  # the other two add at most 2
+                alone = low >= 0.1 and mismatch + low > threshold - 2  # the other two add at most 2
                 if found or alone:
                     rows.append((doc, source or "", found, masked_form(text) if alone else None, mismatch + low if alone else None, list(own) if alone else None, None, None))
             yield pd.DataFrame(rows, columns=cols)
