@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -55,26 +57,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. A temporary one only on a local master; elsewhere its lack is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    existing = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found and existing.isDefined():
+        return existing.get()
     if not found:
-        existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if existing.isDefined():
-            return existing.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lekhya-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    if not existing.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new path in the shared folder, deleted when the session ends or, unless it is to be kept till then, by `release`."""
+    path = f"{shared_dir(spark).rstrip('/')}/lekhya-{label}-{uuid.uuid4().hex}"
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    sc = spark.sparkContext
+    if not keep:
+        sc._lekhya_paths = [*getattr(sc, "_lekhya_paths", []), path]
+    return path
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives the loss of executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives the loss of executors. See `release`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lekhya-{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate results so far; call it when the results built on them are written. The number of folders deleted."""
+    paths = getattr(spark.sparkContext, "_lekhya_paths", [])
+    for path in paths:
+        fs, p = _path(spark, path)
+        fs.delete(p, True)
+    spark.sparkContext._lekhya_paths = []
+    return len(paths)
+
+
 def lookup_rows(df: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> list:
     """Rows of a small lookup table; refuses anything that could grow with the data."""
     rows = df.limit(limit + 1).collect()

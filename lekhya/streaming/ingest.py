@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhya.functions import text as T
 from lekhya.operators import ner
-from lekhya.session import shared_dir, ship
+from lekhya.session import new_folder, ship
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -20,7 +18,7 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day
 
 def run_once(spark: SparkSession, stream: DataFrame, mode: str, label: str) -> DataFrame:
     """Run a streaming query over all that is available; its last result, from the shared folder."""
-    base = f"{shared_dir(spark).rstrip('/')}/lekhya-stream-{label}-{uuid.uuid4().hex}"
+    base = new_folder(spark, f"stream-{label}")
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
