@@ -6,18 +6,20 @@ count once. MLlib's labels are arbitrary: compare partitions, not numbers.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.session import lookup_rows
+from lekhya.session import lookup_rows, materialise
+from lekhya.sources.store import dense_ids
 
 # The features of a property and their defaults.
 DEFAULTS = {"area": 0.0, "bedrooms": 2, "bathrooms": 1, "year_built": 2020, "location_score": 5.0}
@@ -70,8 +72,22 @@ def cluster_properties(features: DataFrame, **options) -> DataFrame:
     return kmeans(scaled, **options).select("doc_id", "cluster")
 
 
-def cluster_info(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("cluster").agg(F.count("*").alias("size"))
+def cluster_info(assigned: DataFrame, id_col: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """(cluster, size[, centroid][, ids]) of assigned(id, cluster): with an id column the members, in order; with vectors(id, embedding) the centroid too."""
+    out = assigned.groupBy("cluster").agg(F.count("*").alias("size"))
+    if id_col and vectors is not None:
+        each = assigned.join(vectors, id_col).select("cluster", F.posexplode("embedding").alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+        middle = each.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"))
+        out = out.join(middle, "cluster")
+    if id_col:  # the members of a cluster are its result; use the assignment itself where clusters are too large for a row
+        out = out.join(assigned.groupBy("cluster").agg(F.array_sort(F.collect_list(id_col)).alias("ids")), "cluster")
+    return out
+
+
+def cluster_documents(vectors: DataFrame, id_col: str = "doc_id", k: int = 5) -> tuple[int, DataFrame]:
+    """(number of clusters that have members, (cluster, size, centroid, ids))."""
+    info = materialise(cluster_info(cluster_embeddings(vectors, id_col, k=k), id_col, vectors.select(id_col, "embedding")), "clusters")
+    return info.count(), info
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str) -> DataFrame:
@@ -95,50 +111,76 @@ def model_of(kind: str, seed: int = 42):
     return LinearRegression(labelCol="value_rs")
 
 
+def metrics(predicted: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
+    """(mae, r2, n) of predictions: one row; r2 against the labels' mean. One pass: the sums of squares come from the moments."""
+    y, e = F.col(label).cast("double"), F.col(label).cast("double") - F.col(prediction)
+    return predicted.agg(F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"), F.count("*").alias("n"))
+
+
+def quantile(values: Column, share: float) -> Column:
+    """A quantile of an array of doubles, by linear interpolation between its ordered values."""
+    ordered = F.array_sort(values)
+    at = (F.size(values) - 1) * F.lit(share)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.coalesce(F.get(ordered, low + 1), F.get(ordered, low))
+    return a + (b - a) * (at - low)
+
+
+def interval(prediction: Column, values: Column) -> list[Column]:
+    """confidence, low and high of an ensemble: the tenth and ninetieth percentile of its members' predictions, and how near they are for the prediction."""
+    low, high = quantile(values, 0.1), quantile(values, 0.9)
+    c = F.when(prediction > 0, 1 - (high - low) / prediction).otherwise(0.5)
+    return [F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("confidence"), low.alias("low"), high.alias("high")]
+
+
 class ValuePredictor:
-    """Value regression: train, metrics, predict with an interval, save and load. Untrained, it estimates by area."""
+    """Value regression: train, metrics, predict with an interval, save and load. Untrained, it estimates by area.
+
+    Features are columns with the defaults of missing values; rows without a label take no part in training.
+    """
+
+    def __init__(self, kind: str = "random_forest", features: dict[str, float] | None = None, label: str = "value_rs", key: str = "doc_id"):
+        self.kind, self.features, self.label, self.key, self.model = kind, dict(features or DEFAULTS), label, key, None
 
-    def __init__(self, kind: str = "random_forest"):
-        self.kind, self.model = kind, None
+    def _rows(self, df: DataFrame, *more: str) -> DataFrame:
+        return df.select(self.key, *(F.coalesce(c, F.lit(d)).alias(c) for c, d in self.features.items()), *more).dropDuplicates()
 
     def train(self, features: DataFrame, test_share: float = 0.2, seed: int = 42) -> dict:
-        """The split is exact and reproducible: rows ordered by a hash, bucketed by it."""
-        f = with_defaults(features).filter("value_rs IS NOT NULL")
-        f = f.withColumn("_h", F.pmod(F.xxhash64("doc_id", *DEFAULTS, F.lit(seed)), F.lit(10_000)))
-        train, test = f.filter(F.col("_h") >= test_share * 10_000), f.filter(F.col("_h") < test_share * 10_000)
-        steps = [VectorAssembler(inputCols=list(DEFAULTS), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), model_of(self.kind, seed)]
+        """Fit on all but the test rows: exactly ceil(share * n) of them, those that come first by a hash. The scaler is fitted on the training rows alone."""
+        rows = self._rows(features, self.label).filter(F.col(self.label).isNotNull())
+        placed = materialise(dense_ids(rows.withColumn("_h", F.xxhash64(self.key, *self.features, F.lit(seed))), "_h", "_at"), "split")
+        held = math.ceil(placed.count() * test_share)
+        train, test = placed.filter(F.col("_at") >= held), placed.filter(F.col("_at") < held)
+        steps = [VectorAssembler(inputCols=list(self.features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), model_of(self.kind, seed).setLabelCol(self.label)]
         self.model = Pipeline(stages=steps).fit(train)
-        p = self.model.transform(test)
-        ev = lambda m: RegressionEvaluator(labelCol="value_rs", metricName=m).evaluate(p)
-        return {"mae": ev("mae"), "r2": ev("r2"), "train_samples": train.count(), "test_samples": test.count()}
+        m = metrics(self.model.transform(test), self.label).first()
+        return {"mae": m.mae, "r2": m.r2, "train_samples": train.count(), "test_samples": m.n}
 
     def predict(self, features: DataFrame) -> DataFrame:
-        """(doc_id, predicted_value, confidence, low, high)."""
+        """(key, predicted_value, confidence, low, high)."""
         if self.model is None:
             return price_heuristic(features)
-        p = self.model.transform(with_defaults(features).drop("value_rs"))
+        p = self.model.transform(self._rows(features))
+        value = F.col("prediction").alias("predicted_value")
         if self.kind != "random_forest":
-            return p.select("doc_id", F.col("prediction").alias("predicted_value"), F.lit(0.7).alias("confidence"), (F.col("prediction") * 0.85).alias("low"), (F.col("prediction") * 1.15).alias("high"))
-        trees = self.model.stages[-1].trees
+            return p.select(self.key, value, F.lit(0.7).alias("confidence"), (F.col("prediction") * 0.85).alias("low"), (F.col("prediction") * 1.15).alias("high"))
         # each tree as arrays of (feature, threshold, left, right, value): evaluated for a whole batch at once
-        flat = [_tree_arrays(t) for t in trees]
+        flat = [_tree_arrays(t) for t in self.model.stages[-1].trees]
 
         @F.pandas_udf("array<double>")
-        def band(v: pd.Series) -> pd.Series:
+        def each(v: pd.Series) -> pd.Series:
             x = np.stack(v.to_numpy())
-            each = np.stack([_tree_predict(t, x) for t in flat])
-            return pd.Series(list(np.percentile(each, [10, 90], axis=0).T))
+            return pd.Series(list(np.stack([_tree_predict(t, x) for t in flat], axis=1)))
 
-        q = p.withColumn("band", band(vector_to_array("features"))).withColumn("low", F.col("band")[0]).withColumn("high", F.col("band")[1])
-        c = F.when(F.col("prediction") > 0, 1 - (F.col("high") - F.col("low")) / F.col("prediction")).otherwise(0.5)
-        return q.select("doc_id", F.col("prediction").alias("predicted_value"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("confidence"), "low", "high")
+        q = p.withColumn("each", each(vector_to_array("features")))
+        return q.select(self.key, value, *interval(F.col("prediction"), F.col("each")))
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
     @classmethod
-    def load(cls, path: str, kind: str = "random_forest") -> ValuePredictor:
-        out = cls(kind)
+    def load(cls, path: str, kind: str = "random_forest", **options) -> ValuePredictor:
+        out = cls(kind, **options)
         out.model = PipelineModel.load(path)
         return out
 

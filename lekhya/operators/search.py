@@ -47,15 +47,16 @@ def keyword_search_batch(index: DataFrame, queries: DataFrame, k: int = 10) -> D
 
 
 def first_by_doc(vectors: DataFrame) -> DataFrame:
-    """The row with the least internal_id of every doc_id."""
-    return vectors.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("internal_id", "embedding"), "internal_id").alias("v")).select("doc_id", "v.*")
+    """(doc_id, internal_id): the least internal_id of every doc_id."""
+    return vectors.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("internal_id").alias("internal_id"))
 
 
 def semantic_search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "l2") -> DataFrame:
-    """(internal_id, doc_id, score): score is 1/(1+d) of the squared distance; the inner product for metric ip is scored 1/(1+ip), as its users know it."""
+    """(internal_id, doc_id, score), nearest first: score is 1/(1+d) of the squared distance; the inner product for metric ip is scored 1/(1+ip), as its users know it."""
     near = knn.nearest(vectors, query, "internal_id", k, metric)
     d = F.col("d") if metric == "l2" else -F.col("d")
-    return near.join(vectors.select("internal_id", "doc_id"), "internal_id").select("internal_id", "doc_id", F.try_divide(F.lit(1.0), 1 + d).alias("score"))
+    hits = vectors.select("internal_id", "doc_id").join(F.broadcast(near), "internal_id").orderBy("d", "internal_id")  # k rows
+    return hits.select("internal_id", "doc_id", F.try_divide(F.lit(1.0), 1 + d).alias("score"))
 
 
 def matches(filters: dict) -> Column:
@@ -70,28 +71,35 @@ def matches(filters: dict) -> Column:
     return reduce(lambda a, b: a & b, (one(*kv) for kv in filters.items()), F.lit(True))
 
 
-def hybrid_search(
-    index: DataFrame, vectors: DataFrame, documents: DataFrame, query: str, vector: list[float], k: int = 10,
-    semantic_weight: float = 0.7, keyword_weight: float = 0.3, filters: dict | None = None,
-) -> DataFrame:
-    """(doc_id, semantic_score, keyword_score, score, title, preview).
+def hybrid_candidates(index: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 10) -> DataFrame:
+    """(doc_id, semantic_score, keyword_score): the best 2k of each side in a full outer join, 4k rows at most.
 
-    The best 2k of each side meet in a full outer join; documents without a vector are dropped; the filter comes after
-    the truncation, as its users know it. A document indexed more than once counts with its last (lowest) hit.
+    A document indexed more than once counts with its last (lowest) hit.
     """
     kw = keyword_search(index, query, 2 * k).select("doc_id", F.col("score").alias("kw"))
     sem = semantic_search(vectors, vector, 2 * k).groupBy("doc_id").agg(F.min("score").alias("sem"))
-    merged = kw.join(sem, "doc_id", "full_outer").select("doc_id", F.coalesce("sem", F.lit(0.0)).alias("semantic_score"), F.coalesce("kw", F.lit(0.0)).alias("keyword_score"))
-    merged = merged.join(vectors.select("doc_id"), "doc_id", "left_semi")
-    meta = documents.select("*", F.col("doc_name").alias("title"), preview(F.col("text")).alias("preview"))
-    joined = meta.join(F.broadcast(merged), "doc_id")  # at most 4k rows
+    return kw.join(sem, "doc_id", "full_outer").select("doc_id", F.coalesce("sem", F.lit(0.0)).alias("semantic_score"), F.coalesce("kw", F.lit(0.0)).alias("keyword_score"))
+
+
+def hybrid_ranked(hits: DataFrame, documents: DataFrame, k: int = 10, semantic_weight: float = 0.7, keyword_weight: float = 0.3, filters: dict | None = None) -> DataFrame:
+    """The hits with their documents' title and preview, filtered after the truncation, as its users know it; best first."""
+    joined = documents.join(F.broadcast(hits), "doc_id")  # 4k rows at most
     if filters:
         joined = joined.filter(matches(filters))
     score = F.col("semantic_score") * semantic_weight + F.col("keyword_score") * keyword_weight
-    cols = ["doc_id", "semantic_score", "keyword_score", score.alias("score"), "title", "preview"]
+    cols = ["doc_id", "semantic_score", "keyword_score", score.alias("score"), F.col("doc_name").alias("title"), "preview"]
     return joined.select(*cols).orderBy(F.round("score", 9).desc(), "doc_id").limit(k)
 
 
+def hybrid_search(
+    index: DataFrame, vectors: DataFrame, documents: DataFrame, query: str, vector: list[float], k: int = 10,
+    semantic_weight: float = 0.7, keyword_weight: float = 0.3, filters: dict | None = None,
+) -> DataFrame:
+    """(doc_id, semantic_score, keyword_score, score, title, preview) over plain tables; documents without a vector are dropped."""
+    hits = hybrid_candidates(index, vectors, query, vector, k).join(vectors.select("doc_id"), "doc_id", "left_semi")
+    return hybrid_ranked(hits, documents.withColumn("preview", preview(F.col("text"))), k, semantic_weight, keyword_weight, filters)
+
+
 def rest_search(documents: DataFrame, entities: DataFrame, query: str, k: int = 10) -> DataFrame:
     """Substring search: 0.5 in the text, 0.3 in the name, 0.2 per entity mention, clamped to 1; ties in ingest order."""
     q = query.lower()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lekhya.functions import vectors as V
 from lekhya.operators import analytics, chunk, embed, knn, search
 from lekhya.plans.registry import query
-from lekhya.session import table
+from lekhya.session import new_folder, table
+from lekhya.sources import store
 from lekhya.streaming import ingest
 
 WORDS = "sale deed property in Kondivali registered sale"
@@ -32,9 +33,23 @@ def valid_vectors(s: SparkSession, d: str) -> DataFrame:
     return v.filter(V.is_valid(F.col("embedding"), 384)).select("internal_id", "doc_id", "embedding")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(s: SparkSession, d: str) -> store.Index:
+    """The search index of a data folder: built once in a session, in the shared folder, and only read by the searches."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        index = store.Index(s, new_folder(s, "index", keep=True))
+        index.save(table(s, d, "documents"), valid_vectors(s, d))
+        _INDEXES[key] = index.path
+    return store.Index.load(s, _INDEXES[key])
+
+
 def query_vector(s: SparkSession, d: str) -> list[float]:
-    kw = search.keyword_scores(index_of(s, d), WORDS)
-    row = valid_vectors(s, d).join(kw, "doc_id").orderBy(F.round("score", 9).desc(), "doc_id", "internal_id").select("embedding").first()
+    index = stored_index(s, d)
+    kw = search.keyword_scores(index.postings(WORDS), WORDS)
+    row = index.vectors().join(kw, "doc_id").orderBy(F.round("score", 9).desc(), "doc_id", "internal_id").select("embedding").first()
     return list(row.embedding)
 
 
@@ -47,7 +62,7 @@ def first_embedding(s: SparkSession, d: str) -> list[float]:
 query("postings", SQL_POST)(index_of)
 query("doc_frequency", f"SELECT term, count(*) AS df FROM ({SQL_POST}) GROUP BY term")(lambda s, d: index_of(s, d).groupBy("term").agg(F.count("*").alias("df")))
 query("kw_search", f"SELECT doc_id, round(score, 6) AS score FROM ({SQL_KW}) ORDER BY round(score, 9) DESC, doc_id LIMIT 10")(
-    lambda s, d: search.keyword_search(index_of(s, d), WORDS).withColumn("score", F.round("score", 6))
+    lambda s, d: stored_index(s, d).keyword(WORDS).withColumn("score", F.round("score", 6))
 )
 query(
     "kw_search_batch",
@@ -56,15 +71,14 @@ query(
     SELECT item_id AS query_id, doc_id, round(score, 6) AS score FROM (
         SELECT item_id, doc_id, sum(c) / CAST(max(n) AS DOUBLE) AS score FROM c JOIN p USING (term) GROUP BY item_id, doc_id)
     QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 10""",
-)(lambda s, d: search.keyword_search_batch(index_of(s, d), table(s, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).withColumn("score", F.round("score", 6)))
+)(lambda s, d: search.keyword_search_batch(stored_index(s, d).postings(), table(s, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).withColumn("score", F.round("score", 6)))
 query(
     "search_keyword_docs",
     f"""SELECT k.doc_id, round(score, 6) AS score, doc_name AS title, substring(text, 1, 200) AS preview FROM (SELECT * FROM ({SQL_KW}) ORDER BY round(score, 9) DESC, doc_id LIMIT 10) k
-    JOIN documents d ON d.doc_id = k.doc_id WHERE k.doc_id IN (SELECT doc_id FROM vectors)""",
+    JOIN documents d ON d.doc_id = k.doc_id WHERE k.doc_id IN (SELECT doc_id FROM vectors WHERE {SQL_VALID})""",
 )(
-    lambda s, d: search.keyword_search(index_of(s, d), WORDS).join(table(s, d, "vectors").select("doc_id"), "doc_id", "left_semi")
-    .join(table(s, d, "documents").select("doc_id", F.col("doc_name").alias("title"), search.preview(F.col("text")).alias("preview")), "doc_id").withColumn("score", F.round("score", 6))
-)
+    lambda s, d: stored_index(s, d).search(WORDS, mode="keyword").withColumn("score", F.round("score", 6))
+)
 
 # ---- vectors -------------------------------------------------------------------------------------------------------------
 
@@ -102,7 +116,7 @@ query(
 query(
     "search_semantic_docs",
     f"""SELECT internal_id, doc_id, round(1 / (1 + d2), 6) AS score FROM (SELECT internal_id, doc_id, {SQL_D2.format("e", f"({SQL_QV})")} AS d2 FROM ({SQL_VEC})) ORDER BY round(d2, 9), internal_id LIMIT 10""",
-)(lambda s, d: search.semantic_search(valid_vectors(s, d), query_vector(s, d)).withColumn("score", F.round("score", 6)))
+)(lambda s, d: stored_index(s, d).semantic(query_vector(s, d)).withColumn("score", F.round("score", 6)))
 
 # ---- hybrid and filters --------------------------------------------------------------------------------------------------------
 
@@ -117,7 +131,7 @@ def sql_hybrid(where: str) -> str:
 
 def hybrid(filters: dict | None) -> object:
     def run(s: SparkSession, d: str) -> DataFrame:
-        out = search.hybrid_search(index_of(s, d), valid_vectors(s, d), table(s, d, "documents"), WORDS, query_vector(s, d), filters=filters)
+        out = stored_index(s, d).search(WORDS, query_vector(s, d), filters=filters)
         return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("semantic_score", "keyword_score", "score")))
 
     return run
@@ -172,6 +186,16 @@ def assigned(s: SparkSession, d: str) -> DataFrame:
 
 query("nearest_centroid", SQL_ASSIGN)(assigned)
 query("cluster_sizes", f"SELECT cluster, count(*) AS size FROM ({SQL_ASSIGN}) GROUP BY cluster")(lambda s, d: analytics.cluster_info(assigned(s, d)))
+query(
+    "cluster_info",
+    f"""WITH a AS ({SQL_ASSIGN}), m AS (SELECT cluster, i, round(avg(e[i]), 5) AS m FROM (SELECT a.cluster, v.e, unnest(range(1, 65)) AS i FROM a JOIN ({SQL_EMB}) v ON v.vec_id = a.vec_id) GROUP BY cluster, i)
+    SELECT cluster, size, ids, c1, c64 FROM (SELECT cluster, count(*) AS size, string_agg(vec_id, ',' ORDER BY vec_id) AS ids FROM a GROUP BY cluster)
+    JOIN (SELECT cluster, max(m) FILTER (i = 1) AS c1, max(m) FILTER (i = 64) AS c64 FROM m GROUP BY cluster) USING (cluster)""",
+)(
+    lambda s, d: analytics.cluster_info(assigned(s, d), "vec_id", table(s, d, "embeddings").select("vec_id", "embedding")).select(
+        "cluster", "size", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.round(F.col("centroid")[0], 5).alias("c1"), F.round(F.col("centroid")[63], 5).alias("c64")
+    )
+)
 query("kmeans_embed")(lambda s, d: analytics.cluster_embeddings(table(s, d, "embeddings"), "vec_id"))
 query("kmeans_features")(lambda s, d: analytics.cluster_properties(table(s, d, "property_features")))
 query(
@@ -188,18 +212,29 @@ query(
     "price_heuristic",
     f"""SELECT doc_id, p AS predicted_value, CAST(0.3 AS DOUBLE) AS confidence, round(p * 0.7, 4) AS low, round(p * 1.3, 4) AS high FROM (SELECT doc_id, coalesce(area, 1000.0) * 10000.0 AS p FROM {SQL_P})""",
 )(lambda s, d: analytics.price_heuristic(table(s, d, "property_features")).withColumns({"low": F.round("low", 4), "high": F.round("high", 4)}))
+
+
+def fitted_line(s: SparkSession, d: str) -> DataFrame:
+    """The line of a linear predictor with one feature: its predictions at 0 and 1 give intercept and slope."""
+    model = analytics.ValuePredictor("linear", {"o_custkey": 0.0}, "o_totalprice", "o_orderkey")
+    orders = table(s, d, "orders")
+    n = model.train(orders, test_share=0.0)["train_samples"]
+    at = {r.o_orderkey: r.predicted_value for r in model.predict(s.createDataFrame([(0, 0.0), (1, 1.0)], "o_orderkey long, o_custkey double")).collect()}
+    return s.createDataFrame([(round(at[1] - at[0], 6), round(at[0], 3), n)], "slope double, intercept double, n long")
+
+
 query(
     "linreg_1d",
     """SELECT round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 3) AS intercept, count(*) AS n FROM orders""",
-)(lambda s, d: table(s, d, "orders").agg(F.round(F.regr_slope("o_totalprice", "o_custkey"), 6).alias("slope"), F.round(F.regr_intercept("o_totalprice", "o_custkey"), 3).alias("intercept"), F.count("*").alias("n")))
+)(fitted_line)
 query(
     "regression_metrics",
     """WITH p AS (SELECT l_extendedprice AS y, l_quantity * (SELECT sum(l_extendedprice) / sum(l_quantity) FROM lineitem) AS p FROM lineitem)
     SELECT round(avg(abs(y - p)), 4) AS mae, round(1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)), 6) AS r2, count(*) AS n FROM p, (SELECT avg(y) AS m FROM p)""",
 )(
-    lambda s, d: (lambda l: l.crossJoin(F.broadcast(l.agg((F.sum("y") / F.sum("q")).alias("u"), F.avg("y").alias("m")))).select("y", "m", (F.col("q") * F.col("u")).alias("p")).agg(
-        F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 4).alias("mae"), F.round(1 - F.sum((F.col("y") - F.col("p")) ** 2) / F.sum((F.col("y") - F.col("m")) ** 2), 6).alias("r2"), F.count("*").alias("n")
-    ))(table(s, d, "lineitem").select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("q")))
+    lambda s, d: (lambda l: analytics.metrics(l.crossJoin(F.broadcast(l.agg((F.sum("y") / F.sum("q")).alias("u")))).select("y", (F.col("q") * F.col("u")).alias("prediction")), "y").select(
+        F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"), "n"
+    ))(table(s, d, "lineitem").select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("q")))  # the other side is one row
 )
 query(
     "ensemble_interval",
@@ -207,11 +242,10 @@ query(
         round(greatest(0.0, least(1.0, CASE WHEN avg(l_extendedprice) > 0 THEN 1 - (quantile_cont(l_extendedprice, 0.9) - quantile_cont(l_extendedprice, 0.1)) / avg(l_extendedprice) ELSE 0.5 END)), 6) AS confidence
     FROM lineitem GROUP BY l_orderkey""",
 )(
-    lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.9))).alias("p"), F.avg("l_extendedprice").alias("m")).select(
-        "l_orderkey", F.round(F.col("p")[0], 4).alias("low"), F.round(F.col("p")[1], 4).alias("high"),
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("m") > 0, 1 - (F.col("p")[1] - F.col("p")[0]) / F.col("m")).otherwise(0.5))), 6).alias("confidence"),
+    lambda s, d: (lambda g: g.select("l_orderkey", *analytics.interval(F.col("m"), F.col("v"))).select("l_orderkey", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("confidence", 6).alias("confidence")))(
+        table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_extendedprice").alias("v"), F.avg("l_extendedprice").alias("m"))
     )
-)
+)
 
 
 def forecast(kind: str) -> object:
@@ -225,6 +259,7 @@ def forecast(kind: str) -> object:
 
 query("value_forecast_forest")(forecast("random_forest"))
 query("value_forecast_linear")(forecast("linear"))
+query("value_forecast_boosting")(forecast("gradient_boosting"))
 
 # ---- streaming ----------------------------------------------------------------------------------------------------------------------
 
