@@ -9,18 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def doubles(c: Column) -> Column:
-    return F.transform(c, lambda x: x.cast("double"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0.0 where a norm is zero."""
     n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -32,17 +24,6 @@ def is_valid(c: Column, dim: int) -> Column:
     return (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-@F.pandas_udf(T.DoubleType())
-def squared_l2_fast(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Squared distance of aligned vectors, one array operation per Arrow batch; null where a side is null."""
-    return _pairwise(a, b, lambda x, y: ((x - y) ** 2).sum(axis=1))
-
-
-@F.pandas_udf(T.DoubleType())
-def dot_fast(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(a, b, lambda x, y: (x * y).sum(axis=1))
-
-
 @F.pandas_udf(T.DoubleType())
 def cosine_fast(a: pd.Series, b: pd.Series) -> pd.Series:
     def f(x: np.ndarray, y: np.ndarray) -> np.ndarray:

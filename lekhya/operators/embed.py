@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lekhya.session import nonempty
 
@@ -40,6 +41,13 @@ def embed_texts(df: DataFrame, key: str, text: str = "text", provider: Callable[
     return df.filter(df[text].isNotNull()).select(key, text).mapInPandas(run, f"{key} long, embedding array<double>")
 
 
+def generate(df: DataFrame, key: str, text: str = "text", model: str = "all-MiniLM-L6-v2", provider: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """(key, text, embedding, model, dimension): the texts of a table with the embeddings of a known model (384 components for others); offline the stand-in of its dimension."""
+    dimension = MODELS.get(model, 384)
+    made = embed_texts(df, key, text, provider or (lambda texts: hashed(texts, dimension)))
+    return df.select(key, text).join(made, key).select(key, text, "embedding", F.lit(model).alias("model"), F.lit(dimension).alias("dimension"))
+
+
 def document_embeddings(df: DataFrame, provider: Callable[[list[str]], np.ndarray] = hashed) -> DataFrame:
     """(doc_id, embedding): the unweighted mean of the embeddings of a document's chunks. The mean is taken where the chunks are, so nothing is shuffled."""
 

@@ -9,37 +9,46 @@ Defined results: null texts have no entities; texts are read whole; ties go to t
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.session import spread
 
-_N = r"([\d/\-A-Za-z]+)"
-_Q = r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*"
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 # The patterns of each type, case ignored; group 1 is the normalised form.
 PATTERNS: list[tuple[str, str]] = [
-    *(("PROPERTY_ID", p) for p in (
-        r"(?:Survey\s*No\.?|S\.?\s*No\.?)\s*[:.]?\s*" + _N, r"(?:Plot\s*No\.?)\s*[:.]?\s*" + _N, r"(?:Khata\s*No\.?)\s*[:.]?\s*" + _N,
-        r"(?:Property\s*ID)\s*[:.]?\s*([\w\-/]+)", r"(?:PID)\s*[:.]?\s*([\w\-/]+)", r"(?:Khasra\s*No\.?)\s*[:.]?\s*" + _N,
-        r"(?:Khatoni\s*No\.?)\s*[:.]?\s*" + _N, r"(?:Document\s*No\.?)\s*[:.]?\s*" + _N,
-    )),
-    *(("AREA", _Q + p) for p in (
-        r"(?:Sq\.?\s*Ft\.?|Square\s*Feet|sq\.?\s*ft\.?)", r"(?:Sq\.?\s*M\.?|Square\s*Meters?|sq\.?\s*m\.?)", r"(?:Sq\.?\s*Yards?|Square\s*Yards?)",
-        r"(?:Acres?|acres?)", r"(?:Guntas?|guntas?)", r"(?:Cents?|cents?)",
-    )),
-    *(("MONEY", p) for p in (
-        r"Rs\.?\s*([\d,]+(?:\.\d{2})?)\s*(?:/-)?", r"INR\.?\s*([\d,]+(?:\.\d{2})?)", r"₹\s*([\d,]+(?:\.\d{2})?)", r"([\d,]+)\s*(?:Lakhs?|lakhs?)",
-        r"([\d,]+)\s*(?:Crores?|crores?)", r"(?:Rupees?)\s+([\w\s]+(?:Lakhs?|Crores?|Thousand)\s*(?:only)?)",
-    )),
-    *(("DATE", p) for p in (
-        r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})", rf"(\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}})", rf"(\d{{1,2}}(?:st|nd|rd|th)?\s+(?:day\s+of\s+)?(?:{_MONTHS})[,]?\s+\d{{4}})",
-    )),
-    *(("DOCUMENT_TYPE", p) for p in (
-        r"(Sale\s*Deed)", r"(General\s*Power\s*of\s*Attorney)", r"(Special\s*Power\s*of\s*Attorney)", r"(Agreement\s*to\s*Sell)", r"(Gift\s*Deed)", r"(Will\s*Deed)",
-    )),
-]
+    ("PROPERTY_ID", r"(?:Survey\s*No\.?|S\.?\s*No\.?)\s*[:.]?\s*([\d/\-A-Za-z]+)"),
+    ("PROPERTY_ID", r"(?:Plot\s*No\.?)\s*[:.]?\s*([\d/\-A-Za-z]+)"),
+    ("PROPERTY_ID", r"(?:Khata\s*No\.?)\s*[:.]?\s*([\d/\-A-Za-z]+)"),
+    ("PROPERTY_ID", r"(?:Property\s*ID)\s*[:.]?\s*([\w\-/]+)"),
+    ("PROPERTY_ID", r"(?:PID)\s*[:.]?\s*([\w\-/]+)"),
+    ("PROPERTY_ID", r"(?:Khasra\s*No\.?)\s*[:.]?\s*([\d/\-A-Za-z]+)"),
+    ("PROPERTY_ID", r"(?:Khatoni\s*No\.?)\s*[:.]?\s*([\d/\-A-Za-z]+)"),
+    ("PROPERTY_ID", r"(?:Document\s*No\.?)\s*[:.]?\s*([\d/\-A-Za-z]+)"),
+    ("AREA", r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:Sq\.?\s*Ft\.?|Square\s*Feet|sq\.?\s*ft\.?)"),
+    ("AREA", r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:Sq\.?\s*M\.?|Square\s*Meters?|sq\.?\s*m\.?)"),
+    ("AREA", r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:Sq\.?\s*Yards?|Square\s*Yards?)"),
+    ("AREA", r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:Acres?|acres?)"),
+    ("AREA", r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:Guntas?|guntas?)"),
+    ("AREA", r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:Cents?|cents?)"),
+    ("MONEY", r"Rs\.?\s*([\d,]+(?:\.\d{2})?)\s*(?:/-)?"),
+    ("MONEY", r"INR\.?\s*([\d,]+(?:\.\d{2})?)"),
+    ("MONEY", r"₹\s*([\d,]+(?:\.\d{2})?)"),
+    ("MONEY", r"([\d,]+)\s*(?:Lakhs?|lakhs?)"),
+    ("MONEY", r"([\d,]+)\s*(?:Crores?|crores?)"),
+    ("MONEY", r"(?:Rupees?)\s+([\w\s]+(?:Lakhs?|Crores?|Thousand)\s*(?:only)?)"),
+    ("DATE", r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"),
+    ("DATE", r"(\d{1,2}\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4})"),
+    ("DATE", r"(\d{1,2}(?:st|nd|rd|th)?\s+(?:day\s+of\s+)?(?:January|February|March|April|May|June|July|August|September|October|November|December)[,]?\s+\d{4})"),
+    ("DOCUMENT_TYPE", r"(Sale\s*Deed)"),
+    ("DOCUMENT_TYPE", r"(General\s*Power\s*of\s*Attorney)"),
+    ("DOCUMENT_TYPE", r"(Special\s*Power\s*of\s*Attorney)"),
+    ("DOCUMENT_TYPE", r"(Agreement\s*to\s*Sell)"),
+    ("DOCUMENT_TYPE", r"(Gift\s*Deed)"),
+    ("DOCUMENT_TYPE", r"(Will\s*Deed)"),
+]
 TYPES = list(dict.fromkeys(t for t, _ in PATTERNS))
 # Labels of model providers and the types they mean.
 MODEL_LABELS = {"PERSON": "PERSON", "PER": "PERSON", "GPE": "LOCATION", "LOC": "LOCATION", "ORG": "ORGANIZATION", "DATE": "DATE", "MONEY": "MONEY"}
@@ -93,7 +102,7 @@ def matches(text: Column, pattern: str, entity_type: str, ordinal: int, low: Col
         hit = F.contains(low, F.lit(need[0]))
         whole = F.when(hit, whole).otherwise(F.array().cast("array<string>"))
     strip = lambda c: F.regexp_replace(c, rf"^[{_SPACE}]+|[{_SPACE}]+\z", "")
-    empty = F.array().cast("array<struct<start:int,end:int,entity_type:string,text:string,normalized:string,confidence:double,ord:int,occ:int>>")
+    empty = F.array().cast(_MATCHES)
 
     def step(acc: Column, w: Column) -> Column:
         start = F.call_function("locate", w, text, F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + 1) - 1
@@ -150,6 +159,44 @@ def extract(df: DataFrame, text: str = "text", extra: list[Column] | None = None
     return raw.select(*keep, F.inline(drop_overlaps(F.col("_raw")))).drop("ord", "occ")
 
 
+#: Model providers by name: a factory, called once per Python worker, of a function from texts to lists of (start, end, label, score or None).
+Spans = list[tuple[int, int, str, float | None]]
+PROVIDERS: dict[str, Callable[[], Callable[[list[str]], list[Spans]]]] = {}
+_MATCHES = "array<struct<start:int,end:int,entity_type:string,text:string,normalized:string,confidence:double,ord:int,occ:int>>"
+
+
+def register(name: str, factory: Callable[[], Callable[[list[str]], list[Spans]]]) -> None:
+    PROVIDERS[name.lower()] = factory
+
+
+def model_matches(text: Column, provider: str) -> Column:
+    """The candidates of a registered model provider, as `matches` gives them. Labels without a type are dropped; a label without a score has MODEL_CONFIDENCE."""
+    if provider.lower() not in PROVIDERS:
+        raise ValueError(f"extraction provider {provider!r} is not registered; known: {sorted(PROVIDERS)}")
+    factory = PROVIDERS[provider.lower()]
+
+    @F.pandas_udf(_MATCHES)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for texts in batches:
+            out = []
+            for t, spans in zip(texts, model([t or "" for t in texts])):
+                kept = [(s, e, MODEL_LABELS[label], t[s:e], score) for s, e, label, score in spans if label in MODEL_LABELS] if t else []
+                out.append([
+                    {"start": s, "end": e, "entity_type": k, "text": x, "normalized": None, "confidence": MODEL_CONFIDENCE if c is None else float(c), "ord": len(PATTERNS), "occ": i}
+                    for i, (s, e, k, x, c) in enumerate(kept)
+                ])
+            yield pd.Series(out)
+
+    return run(text)
+
+
+def extract_entities(df: DataFrame, text: str = "text", use_transformers: bool = False) -> DataFrame:
+    """Extraction with the best models at hand: patterns, and the provider "transformer" if asked for and registered, else "spacy" if registered."""
+    name = next((n for n in (["transformer"] if use_transformers else []) + ["spacy"] if n in PROVIDERS), None)
+    return extract(df, text, [model_matches(F.col(text), name)] if name else None)
+
+
 def label_map(label: Column) -> Column:
     """The entity type of a model's label, null for labels that are dropped."""
     pairs = [F.lit(x) for kv in MODEL_LABELS.items() for x in kv]

@@ -5,11 +5,16 @@ Entities are whole-row distinct by entity_id; within a document and type the ord
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lekhya.functions.text import preview, strip
+from lekhya.session import materialise
 
 FIELDS = {"LOCATION": "location", "AREA": "area", "PROPERTY_ID": "property_id", "MONEY": "value", "DATE": "date"}
 
@@ -61,6 +66,66 @@ def sections(f: DataFrame) -> DataFrame:
     return f.select("doc_id", F.inline(F.array(*(F.struct(F.lit(k).alias("section"), v.alias("body")) for k, v in pairs.items()))))
 
 
+#: Report providers by name: a function from a prompt to the text of a report.
+PROVIDERS: dict[str, Callable[[str], str]] = {}
+TITLE = "Property Transaction Report"
+
+
+def register(name: str, provider: Callable[[str], str]) -> None:
+    PROVIDERS[name.lower()] = provider
+
+
+def configured(name: str | None = None) -> Callable[[str], str] | None:
+    """The provider named by the argument or by LEKHYA_REPORT_PROVIDER; None without a name, an error for one that is not registered."""
+    name = name or os.environ.get("LEKHYA_REPORT_PROVIDER")
+    if name and name.lower() not in PROVIDERS:
+        raise ValueError(f"report provider {name!r} is not registered; known: {sorted(PROVIDERS)}")
+    return PROVIDERS[name.lower()] if name else None
+
+
+def generate(documents: DataFrame, entities: DataFrame, use_model: bool = True, provider: str | None = None) -> DataFrame:
+    """(doc_id, title, summary, sections map, full_report) of every document: by the configured provider, where it fails or is missing by the template."""
+    f = fields(documents, entities)
+    plain = sections(f).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "body"))).alias("sections"))
+    made = f.select("doc_id", report_text().alias("full_report")).join(plain, "doc_id")
+    made = made.select("doc_id", F.lit(TITLE).alias("title"), F.lit("Report generated from extracted entities.").alias("summary"), "sections", "full_report")
+    ask = configured(provider) if use_model else None
+    if ask is None:
+        return made
+
+    @F.pandas_udf("string")
+    def answers(prompts_: pd.Series) -> pd.Series:
+        def one(p: str) -> str | None:
+            try:
+                return ask(p)
+            except Exception:  # a document that the provider fails on gets the template
+                return None
+
+        return prompts_.map(one)
+
+    told = materialise(prompts(documents, entities).select("doc_id", answers("prompt").alias("answer")).filter("answer IS NOT NULL"), "answers")
+    parsed = parse_sections(told, "answer").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "body"))).alias("s"))
+    whole = told.join(parsed, "doc_id", "left").select("doc_id", "answer", F.coalesce("s", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("s"))
+    both = made.join(whole, "doc_id", "left")
+    by_model = F.col("answer").isNotNull()
+    summary = F.coalesce(F.try_element_at("s", F.lit("Property Summary")), F.lit("Report generated successfully."))
+    return both.select(
+        "doc_id", "title", F.when(by_model, summary).otherwise(F.col("summary")).alias("summary"),
+        F.when(by_model, F.col("s")).otherwise(F.col("sections")).alias("sections"), F.coalesce("answer", "full_report").alias("full_report"),
+    )
+
+
+def cards(entities: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, label, texts): at most k entities of each type, one per line; underscores of the label become blanks."""
+    lists = ranked(entities, k).groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(F.struct("r", F.coalesce("text", F.lit("")).alias("t")))).alias("l"))
+    return lists.select("doc_id", F.replace("entity_type", F.lit("_"), F.lit(" ")).alias("label"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("texts"))
+
+
+def write_texts(df: DataFrame, path: str, text: str = "report") -> None:
+    """Reports as text files, one folder for each document."""
+    df.select("doc_id", F.col(text).alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 def parse_sections(df: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, section, body): headers are lines in ** ** or after '## '; a later section of the same name wins."""
     lines = df.filter(F.col(text).isNotNull()).select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))

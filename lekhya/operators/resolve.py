@@ -7,11 +7,15 @@ alphabetical), which makes every result deterministic. Null mentions are left ou
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.functions.text import WS, strip, title_case
+from lekhya.functions.vectors import cosine
 
 # Prefixes of person names, and abbreviations of places.
 NAME_PREFIXES = ["mr", "mrs", "ms", "dr", "shri", "smt", "kumari", "sri", "late", "s/o", "d/o", "w/o", "c/o", "son of", "daughter of", "wife of"]
@@ -72,17 +76,28 @@ def pairs(entities: DataFrame, types: list[str], threshold: float = THRESHOLD) -
     return joined.filter(F.col("sim") >= threshold).select("doc_id", "entity_type", "a", "b", F.round("sim", 6).alias("sim"))
 
 
-def leader_clusters(entities: DataFrame, types: list[str], threshold: float = THRESHOLD) -> DataFrame:
+def leader_clusters(entities: DataFrame, types: list[str], threshold: float = THRESHOLD, embedder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """(doc_id, entity_type, leader, mention): each mention joins the first earlier leader it is similar to, else leads.
 
+    Similar by the ladder, or with an embedder by the cosine of the normal forms' embeddings (0 where one has no length).
     A fold over the sorted mentions of one document and type; groups never span documents, so they stay small.
     """
     m = mentions(entities, types)
+    kind = "string"
+    if embedder is not None:
+        kind = "array<double>"
+
+        @F.pandas_udf(kind)
+        def vector(texts: pd.Series) -> pd.Series:
+            return pd.Series(list(np.asarray(embedder(texts.tolist()), dtype=np.float64)))
+
+        m = m.withColumn("norm", vector("norm"))
+    alike = similarity if embedder is None else cosine
     lists = m.groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(F.struct("mention", "norm"))).alias("l"))
-    start = F.array().cast("array<struct<leader:string,norm:string,mention:string>>")
+    start = F.array().cast(f"array<struct<leader:string,norm:{kind},mention:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        leads = F.filter(acc, lambda y: (y["leader"] == y["mention"]) & (similarity(y["norm"], x["norm"]) >= threshold))
+        leads = F.filter(acc, lambda y: (y["leader"] == y["mention"]) & (alike(y["norm"], x["norm"]) >= threshold))
         to = F.coalesce(F.get(leads, F.lit(0))["leader"], x["mention"])
         return F.concat(acc, F.array(F.struct(to.alias("leader"), x["norm"].alias("norm"), x["mention"].alias("mention"))))
 

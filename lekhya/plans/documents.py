@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lekhya.functions import text as T
-from lekhya.operators import chunk, ner, reports, resolve
+from lekhya.operators import chunk, ner, reports, resolve, search
 from lekhya.plans.registry import query
 from lekhya.session import spread, table
 from lekhya.sources import ocr, store
@@ -114,7 +114,7 @@ query("vec_ids", "SELECT doc_id, CAST(row_number() OVER (ORDER BY ingest_seq) -
 )
 query("vec_size", "SELECT count(*) AS n FROM vectors")(lambda s, d: table(s, d, "vectors").agg(F.count("*").alias("n")))
 query("vec_first_by_doc", "SELECT doc_id, min(internal_id) AS internal_id FROM vectors WHERE doc_id IS NOT NULL GROUP BY doc_id")(
-    lambda s, d: table(s, d, "vectors").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("internal_id").alias("internal_id"))
+    lambda s, d: search.first_by_doc(table(s, d, "vectors"))
 )
 query(
     "ocr_assemble",
@@ -204,6 +204,22 @@ query(
         ner.label_map(F.when(F.col("entity_type") == "LOCATION", "LOC").when(F.col("entity_type") == "ORGANIZATION", "ORG").otherwise(F.col("entity_type"))).alias("mapped"),
     )
 )
+
+
+def titled_names() -> object:
+    """A stand-in for a model: names behind a courtesy title are persons."""
+    import re
+
+    name = re.compile(r"(?:Mr|Mrs|Dr|Smt|Shri)\.? [A-Z][a-z]+ [A-Z][a-z]+")
+    return lambda texts: [[(m.start(), m.end(), "PER", None) for m in name.finditer(t)] for t in texts]
+
+
+ner.register("titled", titled_names)
+query(
+    "ner_model",
+    r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS occ, 'PERSON' AS entity_type, w[i] AS text, CAST(0.85 AS DOUBLE) AS confidence
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?:Mr|Mrs|Dr|Smt|Shri)\.? [A-Z][a-z]+ [A-Z][a-z]+') AS w FROM documents WHERE text IS NOT NULL))""".replace("\\\\", "\\"),
+)(lambda s, d: table(s, d, "documents").select("doc_id", F.inline(ner.model_matches(F.col("text"), "titled"))).select("doc_id", "occ", "entity_type", "text", "confidence"))
 query("pipeline_doc")(
     lambda s, d: (lambda c: ner.counts(ner.extract(c)).join(c.select("doc_id", T.word_count(F.col("text")).alias("words"), F.length("text").alias("chars")), "doc_id"))(
         ocr.assemble(table(s, d, "ocr_pages")).select("doc_id", T.clean(F.col("full_text")).alias("text"))
@@ -332,6 +348,19 @@ SQL_REPORT = f"""SELECT doc_id, {_lit(chr(10) + "# Property Report" + chr(10) *
     || {_lit(chr(10) * 2 + "## Key Observations" + chr(10) + "- Document has been processed and entities extracted" + chr(10) + "- Further manual verification recommended" + chr(10))} AS report
     FROM ({sql_fields("Not specified")})"""
 query("report_fields", sql_fields("Not specified"))(lambda s, d: reports.fields(table(s, d, "documents"), table(s, d, "entities")))
+query("report_fields_na", sql_fields("N/A"))(lambda s, d: reports.fields(table(s, d, "documents"), table(s, d, "entities"), "N/A"))
+query(
+    "report_cards",
+    f"""SELECT doc_id, replace(entity_type, '_', ' ') AS label, string_agg(coalesce(text, ''), chr(10) ORDER BY r) AS texts FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY start_pos, entity_id) AS r FROM {E}) WHERE r <= 5 GROUP BY doc_id, entity_type""",
+)(lambda s, d: reports.cards(table(s, d, "entities")))
+reports.register("echo", lambda prompt: "before\n**Property Summary**\n" + str(len(prompt)) + " characters")  # a stand-in for a language model
+query(
+    "report_generated",
+    f"""SELECT doc_id, 'Property Transaction Report' AS title, 'Report generated from extracted entities.' AS summary, 4 AS n_sections, report AS full_report FROM ({SQL_REPORT})""",
+)(
+    lambda s, d: reports.generate(table(s, d, "documents"), table(s, d, "entities"), use_model=False).select("doc_id", "title", "summary", F.size("sections").alias("n_sections"), "full_report")
+)
 query("report_text", SQL_REPORT)(
     lambda s, d: reports.fields(table(s, d, "documents"), table(s, d, "entities")).select("doc_id", reports.report_text().alias("report"))
 )
