@@ -2,11 +2,13 @@
 
 1. Every record is parsed into PIN, locality (name and kind), street (side, name, kind), house number and flat.
 2. Gazetteer of localities: PINs with the locality they are most often given with; spellings of locality names are
-   clustered by edit distance within their kind. Gazetteer of streets: spellings are clustered within each locality;
-   the most frequent spelling names the street and gets its identifier.
-3. Every address is resolved by a beam search: the hypotheses for its locality (its PIN, its name, near spellings)
-   are extended by the streets of that locality near its spelling, and the best total wins.
-4. Records with equal street identifier, house number and flat are joined.
+   clustered by edit distance within their kind. Gazetteer of streets: spellings are clustered within each locality, by one
+   edit or swap, and where there is nothing so near by two edits; the most frequent spelling names the street and gets its
+   identifier. A spelling moves only to one that is several times as frequent: ratios, not counts, so any size is judged alike.
+3. Every address is resolved by a beam search with additive costs: the `beam` best hypotheses for its locality (its PIN, its
+   name, near spellings; a cost for each edit) are extended by the gazetteer's streets there (a cost for each edit, one for a
+   side that is not given, more the better the street without a side is known itself), and the least total wins.
+4. Records with equal street identifier, house number and flat are joined, on the values themselves.
 
 Defined results: null and empty texts, mere localities and texts without house number or street are no address
 records; landmarks, building, city and state are ignored; repeated rows of a record count once.
@@ -45,6 +47,8 @@ def _alt(forms: dict[str, str]) -> str:
     return "|".join(f"(?:{v})" for v in forms.values())
 
 
+#: What a side that is not given costs, in edits; a street known without a side must be 2^(2*SIDE_COST) times rarer to be taken for one with a side.
+SIDE_COST = 3.0
 _NAME = r"[^\W\d_][^\W\d_']{2,}"
 PIN = re.compile(r"(?<!\d)(?:pin(?:\s?code)?\s*[:\-–.]?\s*)?([1-9]\d{2})\s?(\d{3})(?!\d)(?!\s*/)")
 FLAT = re.compile(r"(?<![a-z])(?:flat|apartment|apt|unit|f)\b\.?\s*(?:no\b\.?)?\s*[:#\-]?\s*(\d{1,4})\s?-?\s?([a-z])?(?![a-z0-9/])")
@@ -83,6 +87,8 @@ def parse(text: str | None) -> dict | None:
     t = LANDMARK.sub(" , ", t)
     pins = [m for m in PIN.finditer(t) if (m[0][0] == "p" or re.search(r"(?:^|[\s,\-–a-z.])$", t[: m.start()]))]
     pin = pins[-1] if pins else None
+    if pin and pin[0][0] != "p":  # a house number of three digits before the PIN's two halves
+        pin = PIN.search(t, pin.start() + 1, pin.end() + 4) or pin
     rest = t[: pin.start()] + " , " + t[pin.end() :] if pin else t
     flat = FLAT.search(rest)
     if flat:
@@ -135,6 +141,17 @@ def parsed(kind: str, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.dropDuplicates(["id"]).withColumn("record_kind", F.lit(kind))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _double_deletions(names: pd.Series) -> pd.Series:
+    """Hashes of the name with at most two letters left out: names within two edits share one."""
+
+    def of(name: str) -> set[str]:
+        one = {name[:k] + name[k + 1 :] for k in range(len(name))}
+        return {name} | one | {w[:k] + w[k + 1 :] for w in one for k in range(len(w))}
+
+    return pd.Series([[xxhash.xxh3_64_intdigest(w) - 2**63 for w in sorted(of(n))] for n in names])
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _deletions(names: pd.Series, places: pd.Series) -> pd.Series:
     """Hashes of (place, name with at most one letter left out): names of a place within one edit, or one swap of neighbours, share one."""
@@ -153,7 +170,7 @@ def _near(left: str, right: str) -> F.Column:
     return (d <= 1) | ((d == 2) & (F.length(left) == F.length(right)) & (letters(left) == letters(right)))
 
 
-def gazetteer(records: DataFrame) -> DataFrame:
+def gazetteer(records: DataFrame, beam: int = 8) -> DataFrame:
     """(pin, loc, loc_kind, side, street, skind, street_id): the identifier of every written form among the records."""
     form = ["pin", "loc", "loc_kind", "side", "street", "skind"]
     forms = materialise(records.groupBy(*form).agg(F.count("*").alias("n")).withColumn("form", F.xxhash64(*(F.coalesce(c, F.lit("\x00")) for c in form))), "forms")
@@ -166,11 +183,12 @@ def gazetteer(records: DataFrame) -> DataFrame:
     right = pins.select("pin", "gloc", "gn", F.explode(_deletions("gloc", "gkind")).alias("key"))
     close = left.join(right, "key").filter(_near("loc", "gloc")).select("loc", "loc_kind", F.col("pin").alias("l"), F.levenshtein("loc", "gloc").alias("cost"), "gn").distinct()
     order = Window.partitionBy("loc", "loc_kind").orderBy("cost", F.col("gn").desc(), "l")
-    close = close.withColumn("r", F.row_number().over(order)).filter("r <= 4").select("loc", "loc_kind", "l", "cost")  # the beam
+    prior = 0.5 * (1 - F.col("gn") / F.max("gn").over(Window.partitionBy("loc", "loc_kind")))  # a PIN that the name is seldom given with
+    close = close.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam).select("loc", "loc_kind", "l", (F.col("cost") + prior).alias("cost"))
 
-    with_pin = forms.filter("pin IS NOT NULL").select("form", "side", "street", "skind", "n", F.col("pin").alias("l"), F.lit(0).alias("cost"))
+    with_pin = forms.filter("pin IS NOT NULL").select("form", "side", "street", "skind", "n", F.col("pin").alias("l"), F.lit(0.0).alias("cost"))
     by_name = forms.filter("pin IS NULL").join(close, ["loc", "loc_kind"], "left").select(
-        "form", "side", "street", "skind", "n", F.coalesce("l", F.concat_ws("|", "loc", "loc_kind")).alias("l"), F.coalesce("cost", F.lit(0)).alias("cost")
+        "form", "side", "street", "skind", "n", F.coalesce("l", F.concat_ws("|", "loc", "loc_kind")).alias("l"), F.coalesce("cost", F.lit(0.0)).alias("cost")
     )
     hypotheses = materialise(with_pin.union(by_name), "hypotheses")
 
@@ -178,7 +196,8 @@ def gazetteer(records: DataFrame) -> DataFrame:
     total = hypotheses.groupBy("street").agg(F.sum("n").alias("g"))
     spell = materialise(hypotheses.groupBy("l", "side", "skind", "street").agg(F.sum(F.col("n") / (1 + F.col("cost"))).alias("n")).join(total, "street"), "spellings")
     keyed = spell.select("l", "side", "skind", "street", "g", "n", F.explode(_deletions("street", F.concat_ws("|", "l", "side", "skind"))).alias("key"))
-    other = keyed.filter("g >= 4").select("key", F.col("street").alias("to"), F.col("n").alias("ton"), F.col("g").alias("tog"))
+    other = keyed.filter("g >= 4").select(  # what the ratio of four asks for anyway
+        "key", F.col("street").alias("to"), F.col("n").alias("ton"), F.col("g").alias("tog"))
     moves = keyed.drop("n").join(other, "key").filter("street <> to AND g * 4 <= tog").filter(_near("street", "to"))
     best = moves.groupBy("l", "side", "skind", "street").agg(F.max(F.struct("tog", "ton", "to")).getField("to").alias("to"))
     one = spell.join(best, ["l", "side", "skind", "street"], "left").select("l", "side", "skind", "street", F.coalesce("to", "street").alias("to"), "n")
@@ -188,14 +207,30 @@ def gazetteer(records: DataFrame) -> DataFrame:
     frequent = words.filter("g >= 4").select("key", F.col("street").alias("everywhere"), F.col("g").alias("tog"))
     wide = words.join(frequent, "key").filter("street <> everywhere AND g * 4 <= tog").filter(_near("street", "everywhere"))
     wide = wide.groupBy(F.col("street").alias("name")).agg(F.max(F.struct("tog", "everywhere")).getField("everywhere").alias("everywhere"))
+    # and names of seven letters and more without any such neighbour may be two edits off, from a name that is far more frequent
+    alone = total.join(wide.select(F.col("name").alias("street")), "street", "left_anti").filter(F.length("street") >= 7)
+    far = alone.select("street", "g", F.explode(_double_deletions("street")).alias("key"))
+    targets = far.filter("g >= 20").select("key", F.col("street").alias("everywhere"), F.col("g").alias("tog"))  # as the ratio of twenty asks
+    far = far.join(targets, "key").filter("street <> everywhere AND g * 20 <= tog").filter(F.levenshtein("street", "everywhere") == 2)
+    far = far.groupBy(F.col("street").alias("name")).agg(F.max(F.struct("tog", "everywhere")).getField("everywhere").alias("everywhere"))
+    wide = wide.union(far)
     named = two.withColumn("name", F.coalesce("to2", "to")).join(wide, "name", "left").withColumn("name", F.coalesce("everywhere", "name"))
     named = materialise(named.select("l", "side", "skind", "street", "name", "n"), "streets")
-    streets = named.select("l", "side", "skind", "street", "name")
-    support = named.groupBy("l", "side", "skind", "name").agg(F.sum("n").alias("support"))
-    streets = streets.join(support, ["l", "side", "skind", "name"])
-
-    # the best hypothesis of each form: least edits in the locality's name, then the street with the most support
-    scored = hypotheses.join(streets, ["l", "side", "skind", "street"]).withColumn("id", F.concat_ws("|", "l", "side", "name", "skind"))
+    streets = named.select("l", "side", "skind", "street", "name", F.least(F.levenshtein("street", "name"), F.lit(2)).alias("edits"))
+    entries = materialise(named.groupBy("l", "side", "skind", "name").agg(F.sum("n").alias("support")), "entries")
+
+    # the beam: hypotheses of the locality are extended by its streets; a street without a side may stand for the one with a side that
+    # is known there by the same name, unless two sides are about equally well known
+    given = hypotheses.join(streets, ["l", "side", "skind", "street"]).select("form", "l", "skind", "name", "side", (F.col("cost") + F.col("edits")).alias("cost"))
+    sided = entries.filter("side <> ''").groupBy("l", "skind", "name").agg(F.max(F.struct("support", "side")).alias("best"), F.sum("support").alias("all"))
+    sided = sided.filter(F.col("best.support") >= 0.8 * F.col("all")).select("l", "skind", "name", F.col("best.side").alias("to_side"), F.col("best.support").alias("to_support"))
+    known = given.join(entries, ["l", "side", "skind", "name"])
+    open_side = known.filter("side = ''").join(sided, ["l", "skind", "name"])
+    better = F.log2(F.col("to_support") / F.col("support")) / 2  # what it costs to stay with a street that is hardly known
+    moved = open_side.filter(better > SIDE_COST).select("form", "l", "skind", "name", F.col("to_side").alias("side"), (F.col("cost") + SIDE_COST).alias("cost"), F.col("to_support").alias("support"))
+    stay = known.join(open_side.select("form", "l", "skind", "name", "side", better.alias("more")), ["form", "l", "skind", "name", "side"], "left")
+    stay = stay.select("form", "l", "skind", "name", "side", (F.col("cost") + F.greatest(F.coalesce("more", F.lit(0.0)), F.lit(0.0))).alias("cost"), "support")
+    scored = stay.union(moved.select(*stay.columns)).withColumn("id", F.concat_ws("|", "l", "side", "name", "skind"))
     chosen = scored.groupBy("form").agg(F.min(F.struct("cost", (-F.col("support")).alias("s"), "id")).getField("id").alias("street_id"))
     return forms.join(chosen, "form").select(*form, "street_id")
 
@@ -210,11 +245,13 @@ def resolve(entities: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def found(entities: DataFrame, resolved: DataFrame) -> DataFrame:
-    """p4_found (record_kind, id_a, id_b): the pairs of records of one kind that denote the same house or flat."""
-    r = materialise(resolve(entities, resolved).withColumn("k", F.xxhash64("street_id", "house", "flat")), "resolved")
-    a = r.select("record_kind", "k", F.col("id").alias("id_a"))
-    b = r.select("record_kind", "k", F.col("id").alias("id_b"))
-    return a.join(b, ["record_kind", "k"]).filter("id_a < id_b").select("record_kind", "id_a", "id_b")
+    """p4_found (record_kind, id_a, id_b): the pairs of records of one kind that denote the same house or flat.
+
+    The result's definition asks for all pairs of a house; the planner splits a house of any number of records (adaptive skew joins).
+    """
+    key = ["record_kind", "street", "house", "flat"]
+    r = materialise(resolve(entities, resolved).select("record_kind", F.xxhash64("street_id").alias("street"), "house", "flat", "id"), "resolved")
+    return r.withColumnRenamed("id", "id_a").join(r.withColumnRenamed("id", "id_b"), key).filter("id_a < id_b").select("record_kind", "id_a", "id_b")
 
 
 def places(entities: DataFrame, resolved: DataFrame) -> DataFrame:
