@@ -3,13 +3,14 @@
 Texts become sets of word n-grams (three words and Jaccard 0.6 here, as the project's statement says). Two smaller
 collections of minhashes are kept: U of `sides` keys made of two minhashes each, V likewise. A table is keyed by a pair
 (U_i, V_j), so sides^2 tables need only 4*sides minhashes. A pair at Jaccard 0.6 shares a table with probability
-(1-(1-0.36)^sides)^2 = 0.995 for sides = 14; at 0.7 and more it is above 0.9997.
+(1-(1-0.36)^sides)^2 = 0.9993 for sides = 18; at 0.7 and more it is above 0.99999. `exact` finds every pair instead.
 
 The shuffle carries one row per (text, U_i) with the V minhashes as payload; the pairing with V_j happens inside the
 sorted partition. Texts with equal n-gram sets are folded into one representative first. A U key held by more than
-`hot` texts is split by its V keys before the shuffle. Buckets over `bucket` texts are not enumerated: their texts go
-to an exact prefix-filter join instead, so nothing is dropped. Candidates are checked against the V minhashes in the
-bucket and then verified exactly on the n-gram sets.
+`hot` texts is split by its V keys before the shuffle, so no task holds more than `hot` rows of a key. Buckets over `bucket`
+texts are not enumerated: their texts go to an exact prefix-filter join instead, so nothing is dropped. Candidates are
+checked against the V minhashes in the bucket (four standard deviations below the threshold are kept: one pair at the
+threshold in 100,000 is not) and then verified exactly on the n-gram sets.
 
 Defined results: null texts and texts under min_words words take no part; repeated rows of a document count once;
 texts are read whole.
@@ -45,7 +46,7 @@ def _sets(texts: list[str], n: int, min_words: int) -> Iterator[tuple[int, np.nd
         yield row, np.unique(g[off[k] : off[k + 1] - n + 1])
 
 
-def signatures(documents: DataFrame, n: int = 3, min_words: int = 50, sides: int = 14) -> DataFrame:
+def signatures(documents: DataFrame, n: int = 3, min_words: int = 50, sides: int = 18) -> DataFrame:
     """(id, size, fp, u array<long>, v binary): the U keys whole, the V minhashes as 2*sides 16-bit words."""
     rng = np.random.Generator(np.random.PCG64(20_240_601))
     seeds = rng.integers(0, 2**32, size=(4 * sides, 1), dtype=np.uint32)
@@ -110,17 +111,21 @@ def _bucket_pairs(group: np.ndarray, ids: np.ndarray, v: np.ndarray, sides: list
 
 def candidates(reps: DataFrame, sides: int, threshold: float, bucket: int = 256, hot: int = 20_000) -> DataFrame:
     """(a, b, oversize): candidate pairs with a < b; rows with b null name texts of oversized buckets."""
-    # a pair at the threshold matches Binomial(2*sides, threshold) V minhashes; three deviations below are still kept
-    least = max(2, math.floor(2 * sides * threshold - 3 * math.sqrt(2 * sides * threshold * (1 - threshold))))
+    # a pair at the threshold matches Binomial(2*sides, threshold) V minhashes; four deviations below are still kept
+    least = max(2, math.floor(2 * sides * threshold - 4 * math.sqrt(2 * sides * threshold * (1 - threshold))))
     rows = reps.select("id", F.posexplode("u").alias("i", "u"), "v").withColumn("g", F.xxhash64("i", "u"))
-    # hot keys hold over 1/10,000 of all rows, so there are under 10,000 of them and they can be broadcast whatever the data
-    total = reps.count() * sides
-    counts = rows.groupBy("g").count().filter(F.col("count") > max(hot, total // 10_000)).select("g", F.lit(True).alias("hot"))
-    rows = rows.select("g", "id", "v").join(F.broadcast(counts), "g", "left")
+    counts = materialise(rows.groupBy("g").count().filter(F.col("count") > hot).select("g", F.lit(True).alias("hot")), "hot-keys")  # few: the planner sees how few
+    rows = rows.select("g", "id", "v").join(counts, "g", "left")
     split = F.expr(f"CASE WHEN hot THEN sequence(0, {sides - 1}) ELSE array(-1) END")
     rows = rows.select("id", "v", "g", F.explode(split).alias("j"))
     part = F.expr("CASE WHEN j < 0 THEN g ELSE xxhash64(g, j, substring(v, 4 * j + 1, 4)) END")
     rows = rows.select(part.alias("g"), F.col("j").cast("byte").alias("j"), "id", "v")
+    over = None
+    if counts.limit(1).count():  # a part of a hot key is one bucket: where it is oversized itself, its texts are named without being brought together
+        rows = materialise(rows, "parts")
+        large = materialise(rows.filter("j >= 0").groupBy("g").count().filter(F.col("count") > bucket).select("g"), "large-parts")
+        over = rows.filter("j >= 0").join(large, "g", "left_semi").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"))
+        rows = rows.join(large, "g", "left_anti")
 
     @nonempty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +159,7 @@ def candidates(reps: DataFrame, sides: int, threshold: float, bucket: int = 256,
             yield flush(held)
 
     out = rows.repartition("g").sortWithinPartitions("g").mapInPandas(run, "a long, b long")
-    return out.distinct()
+    return (out if over is None else out.union(over)).distinct()
 
 
 def _ngram_sets(documents: DataFrame, wanted: DataFrame, n: int, min_words: int) -> DataFrame:
@@ -196,12 +201,18 @@ def _prefix_join(sets: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, "t").filter("a < b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct()
 
 
-def similar_pairs(documents: DataFrame, n: int = 3, threshold: float = 0.6, min_words: int = 50, sides: int = 14, bucket: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b, jaccard) of representatives, and (id, rep) of every text that takes part."""
+def similar_pairs(documents: DataFrame, n: int = 3, threshold: float = 0.6, min_words: int = 50, sides: int = 18, bucket: int = 256, exact: bool = False, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, jaccard) of representatives, and (id, rep) of every text that takes part.
+
+    With `exact` all representatives go to the prefix-filter join, which misses no pair and costs more.
+    """
     sig = materialise(signatures(documents, n, min_words, sides).dropDuplicates(["id"]), "signatures")
     members = materialise(_classes(sig), "classes")
     reps = sig.join(members.filter("id = rep").select("id"), "id", "left_semi")
-    cand = materialise(candidates(reps, sides, threshold, bucket), "candidates")
+    if exact:
+        cand = materialise(reps.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b")), "candidates")
+    else:
+        cand = materialise(candidates(reps, sides, threshold, bucket, hot), "candidates")
     over = cand.filter("b IS NULL").select(F.col("a").alias("id")).distinct()
     pairs = cand.filter("b IS NOT NULL").select("a", "b")
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(over).distinct(), "wanted")
