@@ -3,8 +3,10 @@
 Every record gets the exponential key -ln(u)/w (u from a hash of its id and the seed, w its quality weight); within a
 source records are taken in the order of their keys. A source whose budget exceeds its tokens gives complete epochs
 first; the rest of the budget is the longest prefix, in key order, that fits it. The prefix sums are made in two
-steps: sums of `buckets` key ranges per source (a small table), then a window only within the range in which the
-budget ends, so no source, however large, is ordered in one task.
+steps: sums of key ranges per source (a small table), then a window only within the range in which the budget ends, so no
+source, however large, is ordered in one task. The ranges are `buckets` for each unit of the key's logarithm: the logarithm
+of an exponential key has a density of at most 1/e whatever its weight, so has any mixture of weights, and no range is
+expected to hold more than 1/(e * buckets) of a source (0.07 %).
 
 The total is the parameter `total`, or else the largest at which no source needs more than its allowed repeats.
 
@@ -78,7 +80,7 @@ def _plan(totals: dict[str, int], targets: list, total: float | None) -> list[tu
 
 def mix(
     documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 42, weight: str = "ocr_confidence",
-    buckets: int = 4096, folder: str = TOKENIZERS, max_sources: int = 10_000,
+    buckets: int = 512, folder: str = TOKENIZERS, max_sources: int = 10_000,
 ) -> DataFrame:
     """(doc_id, source, tokens, times): the records of the mix and how often each is used."""
     goals = lookup_rows(targets.select("source", "target_share", "max_repeats"), max_sources)
@@ -91,7 +93,7 @@ def mix(
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = counted.join(F.broadcast(plan.select("source", "epochs", "rest")), "source")
     keyed = keyed.withColumn("key", -F.log(u) / F.col("weight"))
-    keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * 0.7)) * buckets).cast("int"))
+    keyed = keyed.withColumn("bucket", F.floor(F.log("key") * buckets).cast("int"))
     sums = keyed.filter("rest > 0").groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     ranges = sums.withColumn("before", F.coalesce(before, F.lit(0))).select("source", "bucket", "before", "n")

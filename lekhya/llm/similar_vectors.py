@@ -6,7 +6,9 @@ reconstruction stored. Search: vectors meet in cells (each goes to its best cell
 good); there the lookup table of a query against all codewords scores the codes of the cell, the best `shortlist`
 are reranked exactly on the full vectors, and the lists of the cells are merged.
 
-Scale: cells grow with the square root of the collection. Equal vectors are folded into one representative first and
+Scale: cells grow with the square root of the collection up to `max_cells` (16,384, reached at 30 million vectors); from there
+cells grow instead and are split into blocks, each a group of its own, so the work of a cell grows with the square of its size
+while no group does. Equal vectors are folded into one representative first and
 expanded afterwards, so a vector repeated any number of times does not make a hot cell. A cell over `cell_rows` is
 split into blocks of queries and of base vectors, so that no group exceeds twice that. Rows are never dropped.
 
@@ -22,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lekhya.session import materialise, nonempty
 
@@ -161,13 +164,13 @@ def _group_search(quantiser: Quantiser, q_ids, q, b_ids, b, codes, norms, k: int
 
 def neighbours(
     vectors: DataFrame, k: int = 5, dim: int = 384, id_col: str = "internal_id", max_sample: int = 40_000, shortlist: int = 32,
-    cell_rows: int = 2048, most_cells: int = 3, margin: float = 0.005,
+    cell_rows: int = 2048, most_cells: int = 3, margin: float = 0.005, max_cells: int = 16_384,
 ) -> DataFrame:
     """(q, n, cos): the k most similar others of every valid vector; ties by the smaller id."""
     spark = vectors.sparkSession
     sized = _sized(vectors, dim, id_col)
     total = sized.count()
-    cells = int(min(16_384, max(1, round(3 * total**0.5))))
+    cells = int(min(max_cells, max(1, round(3 * total**0.5))))
     wanted = min(max_sample, max(2_000, 32 * cells))
 
     @nonempty
@@ -249,7 +252,10 @@ def _expand(merged: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """Give copies their neighbours: every member of a class sees its first k other members (cosine 1) and its representative's list, expanded."""
     if copies.limit(1).count() == 0:
         return merged
-    ranked = copies.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.when(F.lit(True), F.col("id")))), 1, k + 1).alias("first"))
+    # the first members of a class only: the limit is applied in every task before the shuffle, so a class of any size is k+1 rows of each
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+    first = copies.withColumn("r", rank).filter(F.col("r") <= k + 1)
+    ranked = first.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("first"))
     wide = merged.join(ranked.select(F.col("rep").alias("n"), "first"), "n", "left").select(
         "q", F.explode(F.coalesce("first", F.array("n"))).alias("n"), "cos"
     )

@@ -51,19 +51,15 @@ def _depths(text: str, gaps: list[tuple[int, int]], block: int) -> dict[int, flo
         a, b = Counter(w for _, w in words[max(0, at - block) : at]), Counter(w for _, w in words[at : at + block])
         norm = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
         sims.append(sum(v * b[w] for w, v in a.items()) / norm if norm else 0.0)
-    out = {}
-    for k, s in enumerate(sims):
-        left = right = s
-        for x in reversed(sims[:k]):
-            if x < left:
-                break
-            left = x
-        for x in sims[k + 1 :]:
-            if x < right:
-                break
-            right = x
-        out[gaps[k][0]] = left + right - 2 * s
-    return out
+    # the peak that a gap rises to on a side is its neighbour's peak there, as long as the curve does not fall on the way
+    left, right = list(sims), list(sims)
+    for k in range(1, len(sims)):
+        if sims[k - 1] >= sims[k]:
+            left[k] = left[k - 1]
+    for k in range(len(sims) - 2, -1, -1):
+        if sims[k + 1] >= sims[k]:
+            right[k] = right[k + 1]
+    return {p: a + b - 2 * s for (p, _), a, b, s in zip(gaps, left, right, sims)}
 
 
 def pieces(text: str, limit: int = 512, overlap: int = 50, block: int = 30) -> list[tuple[int, int]]:
