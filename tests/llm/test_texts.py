@@ -102,6 +102,67 @@ def test_p4_addresses(spark):
     assert addresses.found(e.limit(0), r.limit(0)).count() == 0
 
 
+def test_p4_beam_tolerates_two_edits_and_a_missing_side(spark):
+    rows = [(k, "No. %d, East Chandrakala Main Road, Tulsipura Colony 911446" % k) for k in range(1, 101)]
+    rows += [(1000 + k, "No. %d, East Mallige Lane, Tulsipura Colony 911446" % k) for k in range(1, 71)] + [(1100 + k, "No. %d, West Mallige Lane, Tulsipura Colony 911446" % k) for k in range(1, 71)]
+    rows += [(2000, "No. 5, East Chandrekla Main Road, Tulsipura Colony 911446"), (2001, "# 6 E. Chxndrakaxa Mn Rd, Tulsipura Cly"),  # two edits off
+             (2002, "No. 7, Chandrakala Main Road, Tulsipura Colony 911446"),  # the side is missing
+             (2003, "No. 8, Mallige Lane, Tulsipura Colony 911446"),  # and here it may be either
+             (2004, "No. 9, West Chandrakala Main Road, Tulsipura Colony 911446"), (2005, "No. 10, East Chandrakala Main Road, Tulsipura Clony 911446"), (2006, "12 911 446 Tulsipura Colony East Chandrakala Main Road")]
+    e = spark.createDataFrame([(i, "LOCATION", t) for i, t in rows], "entity_id long, entity_type string, text string")
+    r = spark.createDataFrame([], "resolved_id long, entity_type string, canonical string")
+    assert {tuple(x)[1:] for x in addresses.found(e, r).collect()} == {(5, 2000), (6, 2001), (7, 2002), (10, 2005), (12, 2006)}
+    got = {x.id: (x.place_id, x.records) for x in addresses.places(e, r).collect()}
+    assert got[7] == got[2002] and got[7][1] == 2 and got[8][1] == got[2003][1] == got[2004][1] == 1
+
+
+def test_p6_topic_valleys_are_chosen():
+    rng = random.Random(61)
+    farm, law = "wheat field plough seed barn harvest soil cattle".split(), "court judge appeal verdict statute counsel writ bench".split()
+    say = lambda vocab: " ".join(rng.choice(vocab) for _ in range(7)).capitalize() + ". "
+    for k in (5, 6, 7, 8):  # the topic changes after so many sentences; every sentence end is a natural boundary
+        text = "".join(say(farm) for _ in range(k)) + "".join(say(law) for _ in range(30))
+        change = next(m.start() for m in re.finditer(r"(?:Court|Judge|Appeal|Verdict|Statute|Counsel|Writ|Bench)", text))
+        assert split.pieces(text)[0][1] in (change - 1, change), k
+
+
+def test_p6_depths_against_their_definition():
+    rng = random.Random(62)
+    text = " ".join(rng.choice(["alpha", "beta", "gamma.", "delta.", "eps.\n"]) for _ in range(300))
+    gaps = split._boundaries(text)
+    got = split._depths(text, gaps, 9)
+    from collections import Counter
+
+    words = [(m.start(), m[0]) for m in re.finditer(r"\w+", text)]
+    sims = []
+    for p, _ in gaps:
+        before, after = [w for q, w in words if q < p][-9:], [w for q, w in words if q >= p][:9]
+        a, b = Counter(before), Counter(after)
+        norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+        sims.append(sum(v * b[w] for w, v in a.items()) / norm if norm else 0.0)
+    for k, (p, _) in enumerate(gaps):
+        peaks = 0.0
+        for side in (sims[k::-1], sims[k:]):
+            top = side[0]
+            for x in side[1:]:
+                if x < top:
+                    break
+                top = x
+            peaks += top
+        assert abs(got[p] - (peaks - 2 * sims[k])) < 1e-9
+
+
+def test_p9_key_ranges_stay_small_whatever_the_weights():
+    import math
+
+    rng = random.Random(9)
+    for weights in ([0.01], [0.05], [1.0], [0.01, 1.0]):
+        keys = [-math.log(rng.random()) / rng.choice(weights) for _ in range(40_000)]
+        from collections import Counter
+
+        assert max(Counter(math.floor(math.log(k) * 512) for k in keys).values()) < 80  # 29 expected at most
+
+
 def test_p6_pieces_are_lossless_and_bounded():
     rng = random.Random(6)
     words = ["पता", "house", "deed", "😀x", "survey", "vendor"]
