@@ -100,6 +100,19 @@ ORACLES: dict[str, str] = {
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
         SELECT doc_a, doc_b FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+    "p3_groups": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^{_SPACE}]+') AS w FROM documents WHERE text IS NOT NULL),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 50)),
+        h AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(1) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+        m AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep, count(*) OVER (PARTITION BY h) AS copies FROM h),
+        r AS MATERIALIZED (SELECT doc_id, n FROM m WHERE doc_id = rep),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT doc_id FROM r) AND b.doc_id IN (SELECT doc_id FROM r) GROUP BY ALL),
+        p AS MATERIALIZED (SELECT a, b FROM c JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b WHERE c >= 0.6 * (x.n + y.n - c)),
+        e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        t AS (SELECT doc_id AS a, doc_id AS b FROM r UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b),
+        g AS (SELECT a AS rep, min(b) AS group_id FROM t GROUP BY a),
+        d AS (SELECT a AS rep, count(*) AS d FROM e GROUP BY a)
+        SELECT doc_id, group_id, coalesce(d, 0) + copies - 1 AS links FROM m JOIN g USING (rep) LEFT JOIN d USING (rep) WHERE coalesce(d, 0) + copies > 1""",
     "p8_found": """
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
         e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
