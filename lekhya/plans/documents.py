@@ -8,7 +8,7 @@ from lekhya.functions import text as T
 from lekhya.operators import chunk, ner, reports, resolve, search
 from lekhya.plans.registry import query
 from lekhya.session import spread, table
-from lekhya.sources import ocr, store
+from lekhya.sources import ocr, pipeline, store
 
 WS = T.WS
 S = WS[1:-1]
@@ -135,7 +135,25 @@ query(
     """SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, substring(text, i * 462 + 1, 512) AS chunk
     FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / 462.0) AS INTEGER), 1))) AS i FROM documents WHERE text IS NOT NULL)""",
 )(lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(chunk.fixed_chunks(F.col("text"))).alias("chunk_no", "chunk")))
-query("chunk_sentence")(lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(chunk.sentence_chunks(F.col("text"))).alias("chunk_no", "chunk")))
+
+
+def sql_chunk_end(b: str) -> str:
+    """Where the sentence chunk that begins at b ends, from the reversed window: its first full stop and blank, full stop and line end, or blank line."""
+    w = f"substring(text, {b} + 1, 512)"
+    ends = [f"CASE WHEN contains({w}, {sep}) THEN {b} + length({w}) - strpos(reverse({w}), {rev}) + 1 END" for sep, rev in (("'. '", "' .'"), ("'.' || chr(10)", "chr(10) || '.'"), ("chr(10) || chr(10)", "chr(10) || chr(10)"))]
+    picks = ", ".join(f"CASE WHEN {e} > {b} + 50 THEN {e} END" for e in ends)
+    return f"CASE WHEN {b} + 512 < length(text) THEN coalesce({picks}, {b} + 512) ELSE {b} + 512 END"
+
+
+query(
+    "chunk_sentence",
+    f"""WITH RECURSIVE c AS (
+        SELECT doc_id, text, CAST(0 AS BIGINT) AS b, CAST({sql_chunk_end("0")} AS BIGINT) AS e FROM documents WHERE length(text) > 512
+        UNION ALL SELECT doc_id, text, b, CAST({sql_chunk_end("b")} AS BIGINT) FROM (SELECT doc_id, text, e - 50 AS b FROM c WHERE e - 50 < length(text))),
+    k AS (SELECT doc_id, b, {sql_strip("substring(text, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT))")} AS chunk FROM c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INTEGER) AS chunk_no, chunk FROM k WHERE chunk <> ''
+    UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 512""",
+)(lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(chunk.sentence_chunks(F.col("text"))).alias("chunk_no", "chunk")))
 
 # ---- extraction ----------------------------------------------------------------------------------------------------------
 
@@ -220,11 +238,14 @@ query(
     r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS occ, 'PERSON' AS entity_type, w[i] AS text, CAST(0.85 AS DOUBLE) AS confidence
     FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?:Mr|Mrs|Dr|Smt|Shri)\.? [A-Z][a-z]+ [A-Z][a-z]+') AS w FROM documents WHERE text IS NOT NULL))""".replace("\\\\", "\\"),
 )(lambda s, d: table(s, d, "documents").select("doc_id", F.inline(ner.model_matches(F.col("text"), "titled"))).select("doc_id", "occ", "entity_type", "text", "confidence"))
-query("pipeline_doc")(
-    lambda s, d: (lambda c: ner.counts(ner.extract(c)).join(c.select("doc_id", T.word_count(F.col("text")).alias("words"), F.length("text").alias("chars")), "doc_id"))(
-        ocr.assemble(table(s, d, "ocr_pages")).select("doc_id", T.clean(F.col("full_text")).alias("text"))
-    )
-)
+
+
+def processed_counts(p: pipeline.Processed) -> object:
+    sizes = p.vectors.select("doc_id", F.size("embedding").alias("dimension"))
+    return ner.counts(p.entities).join(p.documents.select("doc_id", F.col("word_count").alias("words"), F.col("char_count").alias("chars")), "doc_id").join(sizes, "doc_id")
+
+
+query("pipeline_doc")(lambda s, d: processed_counts(pipeline.process(table(s, d, "ocr_pages"))))
 
 # ---- resolution ------------------------------------------------------------------------------------------------------------
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lekhya import session
 from lekhya.functions import text as T
 from lekhya.operators import analytics, chunk, embed, ner, reports, resolve
-from lekhya.sources import ocr
+from lekhya.sources import ocr, pipeline
 
 
 def test_model_providers_of_extraction(spark):
@@ -70,6 +70,15 @@ def test_ocr_of_images_and_documents(spark, tmp_path):
     assert ocr.backend_of("TEXT") == "text"
 
 
+def test_pipeline_of_pages(spark):
+    pages = spark.createDataFrame([(1, 2, "for Rs. 500", 0.5, "text"), (1, 1, "Page 1 of 2\nSale Deed", 1.0, "text"), (2, 1, None, 0.0, "text")], "doc_id long, page_number int, text string, confidence double, backend string")
+    out = pipeline.process(pages)
+    docs = {r.doc_id: r for r in out.documents.collect()}
+    assert "Page 1 of 2" not in docs[1].text and docs[1].avg_confidence == 0.75 and docs[1].total_pages == 2 and docs[1].char_count == len(docs[1].text)
+    assert {(r.doc_id, r.entity_type) for r in out.entities.collect()} == {(1, "DOCUMENT_TYPE"), (1, "MONEY")}
+    assert {r.doc_id: len(r.embedding) for r in out.vectors.collect()} == {1: 384, 2: 384}
+
+
 def test_resolution_by_embeddings(spark):
     e = spark.createDataFrame([(1, "ORGANIZATION", t) for t in ("Ashok Land Works", "Works Land Ashok", "Blue Quarry", "")], "doc_id long, entity_type string, text string")
     got = {r.mention: r.leader for r in resolve.leader_clusters(e, ["ORGANIZATION"], embedder=embed.hashed).collect()}
