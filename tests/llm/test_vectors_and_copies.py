@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lekhya.llm import graph, near_dup, similar_vectors
@@ -138,3 +139,30 @@ def test_p3_exact_mode_and_hot_keys_miss_no_pair(spark):
         got = {(r.a, r.b) for r in pairs.collect()}
         full = {(a, b) for a in reps for b in reps if a < b and (reps[a] == reps[b] or (min(reps[a], reps[b]), max(reps[a], reps[b])) in got)}
         assert len(want - full) <= (0 if "exact" in options else 0.01 * len(want)) and not full - want
+
+
+def test_p3_large_buckets_are_enumerated_and_class_counts_drop_no_pair(spark):
+    rng = random.Random(5)
+    stock = [f"s{k}" for k in range(70)]
+    docs = [(k, " ".join(stock + [f"n{rng.randrange(10**6)}" for _ in range(rng.choice((8, 60)))])) for k in range(420)]  # every text holds the stock: buckets of over 256
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sig = near_dup.signatures(df)
+    cand = near_dup.candidates(sig, 18, 0.6).collect()
+    assert not [r for r in cand if r.b is None]  # such buckets went to the prefix-filter join, which writes every n-gram of their texts
+    assert len(cand) == len({(r.a, r.b) for r in cand}) and {tuple(r) for r in near_dup.found(df).collect()} == brute(docs)
+    hot = near_dup.candidates(sig, 18, 0.6, hot=100)
+    assert {tuple(r) for r in hot.collect()} == {(r.a, r.b) for r in cand}
+
+
+def test_p3_class_counts_bound_the_common_ngrams():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**64, size=9000, dtype=np.uint64)
+    for size in (3, 60, 300, 6000):  # at 6000 the counts are full
+        for share in (0.0, 0.3, 0.75, 0.9, 1.0):
+            x = np.unique(pool[:size])
+            y = np.unique(np.concatenate([pool[: int(size * share)], pool[size : size + size - int(size * share)]])) if size < 4000 else np.unique(pool[int(size * (1 - share) / 2) :][:size])
+            common = len(np.intersect1d(x, y))
+            may = near_dup._may_reach(pd.Series([near_dup._class_counts(x)]), pd.Series([near_dup._class_counts(y)]), np.array([len(x)]), np.array([len(y)]), 0.6)
+            assert may[0] or common < 0.6 * (len(x) + len(y) - common)
+            assert not may[0] or size != 300 or share >= 0.75  # and it does tell unlike sets apart
+    assert not len(near_dup._may_reach(pd.Series([], dtype=object), pd.Series([], dtype=object), np.array([]), np.array([]), 0.6))
