@@ -170,6 +170,12 @@ def _near(left: str, right: str) -> F.Column:
     return (d <= 1) | ((d == 2) & (F.length(left) == F.length(right)) & (letters(left) == letters(right)))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the records: never broadcast. The planner goes by the size of compressed files, and takes a row for one however
+    many keys are made of it, so that it would hold a multiple of its broadcast threshold on the driver, for several joins at once."""
+    return df.hint("merge")
+
+
 def gazetteer(records: DataFrame, beam: int = 8) -> DataFrame:
     """(pin, loc, loc_kind, side, street, skind, street_id): the identifier of every written form among the records."""
     form = ["pin", "loc", "loc_kind", "side", "street", "skind"]
@@ -181,58 +187,58 @@ def gazetteer(records: DataFrame, beam: int = 8) -> DataFrame:
     spelled = forms.filter("pin IS NULL").select("loc", "loc_kind").distinct()
     left = spelled.select("loc", "loc_kind", F.explode(_deletions("loc", "loc_kind")).alias("key"))
     right = pins.select("pin", "gloc", "gn", F.explode(_deletions("gloc", "gkind")).alias("key"))
-    close = left.join(right, "key").filter(_near("loc", "gloc")).select("loc", "loc_kind", F.col("pin").alias("l"), F.levenshtein("loc", "gloc").alias("cost"), "gn").distinct()
+    close = left.join(_shuffled(right), "key").filter(_near("loc", "gloc")).select("loc", "loc_kind", F.col("pin").alias("l"), F.levenshtein("loc", "gloc").alias("cost"), "gn").distinct()
     order = Window.partitionBy("loc", "loc_kind").orderBy("cost", F.col("gn").desc(), "l")
     prior = 0.5 * (1 - F.col("gn") / F.max("gn").over(Window.partitionBy("loc", "loc_kind")))  # a PIN that the name is seldom given with
     close = close.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam).select("loc", "loc_kind", "l", (F.col("cost") + prior).alias("cost"))
 
     with_pin = forms.filter("pin IS NOT NULL").select("form", "side", "street", "skind", "n", F.col("pin").alias("l"), F.lit(0.0).alias("cost"))
-    by_name = forms.filter("pin IS NULL").join(close, ["loc", "loc_kind"], "left").select(
+    by_name = forms.filter("pin IS NULL").join(_shuffled(close), ["loc", "loc_kind"], "left").select(
         "form", "side", "street", "skind", "n", F.coalesce("l", F.concat_ws("|", "loc", "loc_kind")).alias("l"), F.coalesce("cost", F.lit(0.0)).alias("cost")
     )
     hypotheses = materialise(with_pin.union(by_name), "hypotheses")
 
     # streets: spellings of a locality, side and kind; a spelling that is rare everywhere goes to its most frequent neighbour
     total = hypotheses.groupBy("street").agg(F.sum("n").alias("g"))
-    spell = materialise(hypotheses.groupBy("l", "side", "skind", "street").agg(F.sum(F.col("n") / (1 + F.col("cost"))).alias("n")).join(total, "street"), "spellings")
+    spell = materialise(hypotheses.groupBy("l", "side", "skind", "street").agg(F.sum(F.col("n") / (1 + F.col("cost"))).alias("n")).join(_shuffled(total), "street"), "spellings")
     keyed = spell.select("l", "side", "skind", "street", "g", "n", F.explode(_deletions("street", F.concat_ws("|", "l", "side", "skind"))).alias("key"))
     other = keyed.filter("g >= 4").select(  # what the ratio of four asks for anyway
         "key", F.col("street").alias("to"), F.col("n").alias("ton"), F.col("g").alias("tog"))
-    moves = keyed.drop("n").join(other, "key").filter("street <> to AND g * 4 <= tog").filter(_near("street", "to"))
+    moves = keyed.drop("n").join(_shuffled(other), "key").filter("street <> to AND g * 4 <= tog").filter(_near("street", "to"))
     best = moves.groupBy("l", "side", "skind", "street").agg(F.max(F.struct("tog", "ton", "to")).getField("to").alias("to"))
-    one = spell.join(best, ["l", "side", "skind", "street"], "left").select("l", "side", "skind", "street", F.coalesce("to", "street").alias("to"), "n")
-    two = one.join(best.select("l", "side", "skind", F.col("street").alias("to"), F.col("to").alias("to2")), ["l", "side", "skind", "to"], "left")
+    one = spell.join(_shuffled(best), ["l", "side", "skind", "street"], "left").select("l", "side", "skind", "street", F.coalesce("to", "street").alias("to"), "n")
+    two = one.join(_shuffled(best.select("l", "side", "skind", F.col("street").alias("to"), F.col("to").alias("to2"))), ["l", "side", "skind", "to"], "left")
     # a locality may hold misspellings only: what has no frequent neighbour there takes the one it has among all streets
     words = total.select("street", "g", F.explode(_deletions("street", F.lit(""))).alias("key"))
     frequent = words.filter("g >= 4").select("key", F.col("street").alias("everywhere"), F.col("g").alias("tog"))
-    wide = words.join(frequent, "key").filter("street <> everywhere AND g * 4 <= tog").filter(_near("street", "everywhere"))
+    wide = words.join(_shuffled(frequent), "key").filter("street <> everywhere AND g * 4 <= tog").filter(_near("street", "everywhere"))
     wide = wide.groupBy(F.col("street").alias("name")).agg(F.max(F.struct("tog", "everywhere")).getField("everywhere").alias("everywhere"))
     # and names of seven letters and more without any such neighbour may be two edits off, from a name that is far more frequent
-    alone = total.join(wide.select(F.col("name").alias("street")), "street", "left_anti").filter(F.length("street") >= 7)
+    alone = total.join(_shuffled(wide.select(F.col("name").alias("street"))), "street", "left_anti").filter(F.length("street") >= 7)
     far = alone.select("street", "g", F.explode(_double_deletions("street")).alias("key"))
     targets = far.filter("g >= 20").select("key", F.col("street").alias("everywhere"), F.col("g").alias("tog"))  # as the ratio of twenty asks
-    far = far.join(targets, "key").filter("street <> everywhere AND g * 20 <= tog").filter(F.levenshtein("street", "everywhere") == 2)
+    far = far.join(_shuffled(targets), "key").filter("street <> everywhere AND g * 20 <= tog").filter(F.levenshtein("street", "everywhere") == 2)
     far = far.groupBy(F.col("street").alias("name")).agg(F.max(F.struct("tog", "everywhere")).getField("everywhere").alias("everywhere"))
     wide = wide.union(far)
-    named = two.withColumn("name", F.coalesce("to2", "to")).join(wide, "name", "left").withColumn("name", F.coalesce("everywhere", "name"))
+    named = two.withColumn("name", F.coalesce("to2", "to")).join(_shuffled(wide), "name", "left").withColumn("name", F.coalesce("everywhere", "name"))
     named = materialise(named.select("l", "side", "skind", "street", "name", "n"), "streets")
     streets = named.select("l", "side", "skind", "street", "name", F.least(F.levenshtein("street", "name"), F.lit(2)).alias("edits"))
     entries = materialise(named.groupBy("l", "side", "skind", "name").agg(F.sum("n").alias("support")), "entries")
 
     # the beam: hypotheses of the locality are extended by its streets; a street without a side may stand for the one with a side that
     # is known there by the same name, unless two sides are about equally well known
-    given = hypotheses.join(streets, ["l", "side", "skind", "street"]).select("form", "l", "skind", "name", "side", (F.col("cost") + F.col("edits")).alias("cost"))
+    given = hypotheses.join(_shuffled(streets), ["l", "side", "skind", "street"]).select("form", "l", "skind", "name", "side", (F.col("cost") + F.col("edits")).alias("cost"))
     sided = entries.filter("side <> ''").groupBy("l", "skind", "name").agg(F.max(F.struct("support", "side")).alias("best"), F.sum("support").alias("all"))
     sided = sided.filter(F.col("best.support") >= 0.8 * F.col("all")).select("l", "skind", "name", F.col("best.side").alias("to_side"), F.col("best.support").alias("to_support"))
-    known = given.join(entries, ["l", "side", "skind", "name"])
-    open_side = known.filter("side = ''").join(sided, ["l", "skind", "name"])
+    known = given.join(_shuffled(entries), ["l", "side", "skind", "name"])
+    open_side = known.filter("side = ''").join(_shuffled(sided), ["l", "skind", "name"])
     better = F.log2(F.col("to_support") / F.col("support")) / 2  # what it costs to stay with a street that is hardly known
     moved = open_side.filter(better > SIDE_COST).select("form", "l", "skind", "name", F.col("to_side").alias("side"), (F.col("cost") + SIDE_COST).alias("cost"), F.col("to_support").alias("support"))
-    stay = known.join(open_side.select("form", "l", "skind", "name", "side", better.alias("more")), ["form", "l", "skind", "name", "side"], "left")
+    stay = known.join(_shuffled(open_side.select("form", "l", "skind", "name", "side", better.alias("more"))), ["form", "l", "skind", "name", "side"], "left")
     stay = stay.select("form", "l", "skind", "name", "side", (F.col("cost") + F.greatest(F.coalesce("more", F.lit(0.0)), F.lit(0.0))).alias("cost"), "support")
     scored = stay.union(moved.select(*stay.columns)).withColumn("id", F.concat_ws("|", "l", "side", "name", "skind"))
     chosen = scored.groupBy("form").agg(F.min(F.struct("cost", (-F.col("support")).alias("s"), "id")).getField("id").alias("street_id"))
-    return forms.join(chosen, "form").select(*form, "street_id")
+    return forms.join(_shuffled(chosen), "form").select(*form, "street_id")
 
 
 def resolve(entities: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -241,7 +247,7 @@ def resolve(entities: DataFrame, resolved: DataFrame) -> DataFrame:
     gaz = gazetteer(records)
     keys = ["pin", "loc", "loc_kind", "side", "street", "skind"]
     h = F.xxhash64(*(F.coalesce(c, F.lit("\x00")) for c in keys))
-    return records.withColumn("form", h).join(gaz.select(h.alias("form"), "street_id"), "form").select("record_kind", "id", "street_id", "house", "flat")
+    return records.withColumn("form", h).join(_shuffled(gaz.select(h.alias("form"), "street_id")), "form").select("record_kind", "id", "street_id", "house", "flat")
 
 
 def found(entities: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -251,11 +257,11 @@ def found(entities: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     key = ["record_kind", "street", "house", "flat"]
     r = materialise(resolve(entities, resolved).select("record_kind", F.xxhash64("street_id").alias("street"), "house", "flat", "id"), "resolved")
-    return r.withColumnRenamed("id", "id_a").join(r.withColumnRenamed("id", "id_b"), key).filter("id_a < id_b").select("record_kind", "id_a", "id_b")
+    return r.withColumnRenamed("id", "id_a").join(_shuffled(r.withColumnRenamed("id", "id_b")), key).filter("id_a < id_b").select("record_kind", "id_a", "id_b")
 
 
 def places(entities: DataFrame, resolved: DataFrame) -> DataFrame:
     """(record_kind, id, place_id, records): one row per address record, with its place and how many records the place has."""
     r = materialise(resolve(entities, resolved).withColumn("place_id", F.concat_ws("|", "street_id", "house", "flat")), "resolved")
     n = r.groupBy("place_id").agg(F.count("*").alias("records"))
-    return r.join(n, "place_id").select("record_kind", "id", "place_id", "records")
+    return r.join(_shuffled(n), "place_id").select("record_kind", "id", "place_id", "records")

@@ -338,3 +338,16 @@ def test_p10_anchors_are_as_case_blind_as_their_patterns():
             assert set(residue.evidence(v)) >= {kind for kind, _, pattern in residue.DETECTORS if pattern.search(v)}, v
         assert plain, t
     assert all(a == a.lower() for (_, anchors, _), blind in zip(residue.DETECTORS, residue._CASE_BLIND) if blind for a in anchors)
+
+
+def test_p4_no_side_that_grows_with_the_records_is_broadcast(spark, monkeypatch):
+    e = spark.createDataFrame(
+        [(k, "LOCATION", f"No. {k % 7 + 1}, {n} Street, Ashok Nagar, 911 010") for k, n in enumerate(["Kamala", "Kamla", "Vimala"] * 8)], "entity_id long, entity_type string, text string"
+    )
+    r = spark.createDataFrame([(1, "LOCATION", "No. 1, Kamala Street, Ashok Nagar, 911 010")], "resolved_id long, entity_type string, canonical string")
+    plans, write = [], addresses.materialise
+    monkeypatch.setattr(addresses, "materialise", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, label))[1])
+    out = addresses.found(e, r)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
+    assert out.count() > 0
