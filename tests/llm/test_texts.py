@@ -351,3 +351,18 @@ def test_p4_no_side_that_grows_with_the_records_is_broadcast(spark, monkeypatch)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
     assert out.count() > 0
+
+
+def test_p2_lexicon_loses_no_word_and_no_pair(spark, monkeypatch):
+    rows = [(f"word{k}", 100 - k, k % 2 * 100) for k in range(40)] + [(f"word{k} mot\u00e9{k % 7}", 6 + k % 5, 0) for k in range(40)] + [("rare", 2, 0), ("rare pair", 5, 0)]
+    counted = spark.createDataFrame(rows, "w string, n long, capital long")
+    whole = ocr_repair.lexicon_of(counted)
+    monkeypatch.setattr(ocr_repair, "MAX_WORDS", 3, raising=False)
+    monkeypatch.setattr(ocr_repair, "MAX_PAIRS", 4)
+    small = ocr_repair.Lexicon(*ocr_repair._plain(ocr_repair.lexicon_of(counted)))
+    assert small.words == whole.words == {w: n for w, n, _ in rows if n > 2 and " " not in w} and small.names == whole.names
+    assert len(small.pairs) == 4 and len(whole.pairs) == 40
+    for w, n, _ in rows[40:-2]:
+        assert small.pair(*w.split(" ")) == whole.pair(*w.split(" ")) == n
+    assert small.pair("rare", "pair") == small.pair("word1", "word2") == whole.pair("word1", "word2") == 0
+    assert small.candidates("word1") == whole.candidates("word1") and small.correction("wordl") == whole.correction("wordl")
